@@ -1,0 +1,7 @@
+"""Registered queries of the engine and the SQL that each must equal."""
+
+from __future__ import annotations
+
+FLAGSHIP = "classify_direct_related"
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
