@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, quality, url_filter
+from tessera.llm import decontaminate, language, packing, quality, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -41,7 +41,30 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_paths())
+
+
+def tokenizer_paths() -> tuple[str, str]:
+    """The public vocabulary, and the same as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_language_id": op6_language_id,
+    "op8_toxicity": op8_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op9_url_filters": op9_url_filters,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
