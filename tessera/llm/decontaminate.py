@@ -118,7 +118,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
     per_text = hits.groupBy("_key").agg(F.collect_set(F.struct("start", "len")).alias("_spans"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("_items"))
     per_text = per_text.select("_key", covered.alias("n_hit"), F.array_sort(F.transform("_items", lambda x: x.cast("string"))).alias("_items"))
-    out = marked.join(per_text, "_key", "left")
+    # Materialised, so that both sides of the join are plain shuffles whose hot keys Spark can split.
+    out = marked.join(cut(per_text), "_key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         F.col("_id").alias(id_col),
