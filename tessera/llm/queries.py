@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html_text, language, lm_score, packing, quality, toxicity, url_filter
+from tessera.llm import decontaminate, html_text, language, lm_score, packing, passage_dedup, quality, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
@@ -75,6 +79,7 @@ QUERIES = {
     "op4_html_extraction": op4_html_extraction,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_language_id": op6_language_id,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_toxicity": op8_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op9_url_filters": op9_url_filters,
