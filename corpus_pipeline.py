@@ -1,9 +1,75 @@
-"""The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark passages, packing."""
+"""The corpus pipeline: toxic documents go, one document of each group of near duplicates stays, passages that repeat
+are removed, contaminated documents go, and what is left is packed into sequences."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, jaccard, packing, passage_dedup, toxicity
+from tessera.llm.common import broadcast_if, table, text_key
+from tessera.llm.queries import tokenizer_paths
+
+#: Up to so many digests (about 20 bytes each) are broadcast; beyond it both sides are shuffled.
+BROADCAST_ROWS = 300_000
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    return toxicity.toxicity(rows, table(spark, sf_dir, "labels")).where("predicted = 0").select("_row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class the document with the least id stays."""
+    found = jaccard.join(docs)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose what repeats; bytes of a character that is only partly kept go too. A null text stays null."""
+    kept = passage_dedup.dedup(docs, keep_text=True).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept").dropDuplicates(["_id", "_key"])
+    keyed = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), F.col("text").isNull().alias("_null"), text_key().alias("_key"))
+    joined = keyed.join(kept, keyed["_row"]["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_key"]))
+    text = F.when(~F.col("_null"), F.col("kept"))
+    out = joined.select("_row.*", text.alias("text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    bad = found.where("contaminated").select("_key").distinct()
+    return docs.withColumn("_key", text_key()).join(broadcast_if(bad, BROADCAST_ROWS), "_key", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, *tokenizer_paths())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("suffix_array_dedup", remove_repeated_passages),
+    ("benchmark_decontamination", drop_contaminated),
+    ("best_fit_packing", pack),
+]
+
+#: Learning, a network of links and a suffix array are beyond SQL; a brute-force version in the tests checks run().
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each result is written as Parquet in the shared folder and read again."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
+    folder = f"{base}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

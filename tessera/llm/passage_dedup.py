@@ -245,7 +245,8 @@ def _chunks(anchor: np.ndarray, size: np.ndarray, most: int) -> list[tuple[int,
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100, core: int = 50, batch_rows: int = 2000, chunk_bytes: int = 1_000_000, keep_text: bool = False) -> DataFrame:
-    """One row per row of docs: n_bytes, n_removed, n_spans, kept_sha256, and with keep_text also kept (binary).
+    """One row per row of docs: n_bytes, n_removed, n_spans, kept_sha256; with keep_text also text_key, the digest of the
+    text, and kept, the remaining text without characters that lost some of their bytes.
 
     Ids are integers and order documents; a null id comes last. Null texts are empty, and texts under `span` bytes
     lose nothing. Rows that repeat id and text are one document and stay or go together; rows that share an id but not
@@ -356,8 +357,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
             else:
                 kept = data[~covered].tobytes()
                 removed, spans = int(covered.sum()), int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
-            out.append((b["id"].iloc[k], len(data), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
-        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
+            out.append((b["id"].iloc[k], len(data), removed, spans, hashlib.sha256(kept).hexdigest(), *([hashlib.md5(data.tobytes()).digest(), kept.decode("utf-8", "ignore")] if keep_text else [])))
+        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text_key", "kept"] if keep_text else [])]
         return pd.DataFrame(out, columns=names)
 
     answer = "batch int, bucket int, kind int, answer binary"
@@ -366,5 +367,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     by_batch = dealt.groupBy("batch")
     shown = by_batch.cogroup(first.groupBy("batch")).applyInPandas(show, "batch int, bucket int, anchor binary, left binary, size binary, text binary, doc binary, place binary")
     second = shown.groupBy("bucket").applyInPandas(sort_out, answer)
-    result = by_batch.cogroup(first.unionAll(second).groupBy("batch")).applyInPandas(finish, "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else ""))
+    result = by_batch.cogroup(first.unionAll(second).groupBy("batch")).applyInPandas(finish, "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text_key binary, kept string" if keep_text else ""))
     return result.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

@@ -125,7 +125,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 for f in b["folded"]:
                     s = stems(f)
                     n.update(s if wanted is None else s & wanted)
-            yield pd.DataFrame({"stem": list(n), "n": list(n.values())}, columns=["stem", "n"]).astype({"n": "int64"})
+            if n:
+                yield pd.DataFrame({"stem": list(n), "n": list(n.values())})
 
         return run
 
