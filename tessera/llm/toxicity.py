@@ -24,7 +24,7 @@ from tessera.llm.common import cut
 LOOKALIKES = "а:a е:e о:o р:p с:c х:x у:y і:i ѕ:s ј:j һ:h ԁ:d ԛ:q ԝ:w к:k м:m т:t в:b н:h α:a ε:e ο:o ρ:p ι:i ν:v τ:t υ:u κ:k ı:i ł:l ø:o đ:d ß:s 0:o 1:i 3:e 4:a 5:s 7:t 8:b @:a $:s"
 #: Phrases in which a listed word is harmless (fixed values).
 EXCEPTIONS = ("pond scum", "trash can", "trash bin", "clown fish", "class clown", "white trash bag", "stupid mistake on my part")
-#: Used where there are no labelled rows (fixed values).
+#: Known words, used beside what labelled rows teach (fixed values).
 DEFAULT_LEXICON = {w: 4.0 for w in ("idiot", "moron", "scum", "stupid", "loser", "worthless", "pathetic", "disgusting", "trash", "clown")}
 
 _TABLE = {ord(a): b for a, b in (x.split(":") for x in LOOKALIKES.split())}
@@ -160,8 +160,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for i in where.pop(best):
             need[i] -= 1
         where = {s: at for s, at in where.items() if gain[s] >= support and not s.startswith(best) and not best.startswith(s)}
-    if not lexicon:
-        return Lexicon(DEFAULT_LEXICON)
+    for word, w in DEFAULT_LEXICON.items():  # known words that the sample is too small to teach, unless it clears them
+        if not any((word + " ").startswith(x) for x in lexicon) and in_clean.get(word + " ", 0) <= 0.002 * n_clean:
+            lexicon[word + " "] = w
     return _calibrated(Lexicon(lexicon), rows)
 
 
