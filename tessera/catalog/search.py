@@ -1 +1,271 @@
-"""Queries."""
+"""Text and vector retrieval over documents, benchmark passages and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera.catalog.registry import query
+from tessera.functions import text as X
+from tessera.operators import classify as C
+from tessera.operators import records as R
+from tessera.operators import retrieval as S
+
+#: Tokens of a text in SQL, as the index has them.
+_TOKENS = "list_filter(string_split_regex(translate(lower(coalesce(text, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+
+
+def _bm25_sql(question: str, k: int, eligible: str = "true") -> str:
+    terms = X.query_tokens(question)
+    values = ", ".join(f"('{w}', {terms.count(w)})" for w in sorted(set(terms)))
+    return f"""
+WITH d AS (SELECT doc_id, source, lang, {_TOKENS} AS t FROM documents),
+q(term, qf) AS (VALUES {values}),
+n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+tf AS (SELECT doc_id, source, lang, len(t) AS dl, term, qf, len(list_filter(t, lambda x: x = term)) AS tf FROM d CROSS JOIN q),
+idf AS (SELECT term, CASE WHEN ln((n - count(*) FILTER (tf > 0) + 0.5) / (count(*) FILTER (tf > 0) + 0.5)) > 0 THEN ln((n - count(*) FILTER (tf > 0) + 0.5) / (count(*) FILTER (tf > 0) + 0.5)) ELSE 1e-6 END AS idf FROM tf, n GROUP BY term, n),
+s AS (SELECT doc_id, source, lang, round(sum(qf * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) AS score FROM tf JOIN idf USING (term), n GROUP BY ALL HAVING sum(tf) > 0),
+best AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s WHERE {eligible} ORDER BY rank LIMIT {k})
+"""
+
+
+_ASK = "and the reer thend"
+_COSINE = "round(list_dot_product(embedding::DOUBLE[], {q}) / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({q}, {q})), 1e-12), 9)"
+
+
+@query(_bm25_sql(_ASK, 10) + "SELECT doc_id, round(score, 6) AS score, rank FROM best")
+def bm25_topk(t):
+    """The ten best documents for a question."""
+    return S.bm25(t.documents, _ASK, "doc_id", "text").withColumn("score", F.round("score", 6))
+
+
+@query(_bm25_sql(_ASK, 10, "lang = 'en' AND source IN ('src1', 'src2', 'src3')") + "SELECT doc_id, round(score, 6) AS score, rank FROM best")
+def bm25_topk_eligible(t):
+    """The same among eligible documents, with statistics of the whole table."""
+    eligible = t.documents.where(F.col("source").isin("src1", "src2", "src3") & (F.col("lang") == "en")).select("doc_id")
+    return S.bm25(t.documents, _ASK, "doc_id", "text", eligible=eligible).withColumn("score", F.round("score", 6))
+
+
+@query(_bm25_sql(_ASK, 20) + ", p AS (SELECT best.*, CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS preferred FROM best JOIN documents USING (doc_id)) SELECT doc_id, rank, preferred, row_number() OVER (ORDER BY preferred DESC, rank) AS final_rank FROM p ORDER BY final_rank LIMIT 5")
+def documentary_two_stage(t):
+    """Twenty ranked documents, of which five stay, preferred ones first."""
+    ranking = S.bm25(t.documents, _ASK, "doc_id", "text", k=20)
+    return S.two_stage(ranking, t.documents.where("lang = 'de'").select("doc_id"), "doc_id", 5).select("doc_id", "rank", "preferred", "final_rank")
+
+
+@query(_bm25_sql(_ASK, 5) + ", b AS (SELECT doc_id, rank FROM best UNION ALL SELECT doc_id, NULL FROM documents WHERE lang = 'fr' AND doc_id < 3 AND doc_id NOT IN (SELECT doc_id FROM best)) SELECT doc_id, rank FROM b")
+def passage_backfill(t):
+    """Eligible passages that nothing ranked come after the ranked ones, without a rank."""
+    best = S.bm25(t.documents, _ASK, "doc_id", "text", k=5).select("doc_id", "rank")
+    rest = t.documents.where("lang = 'fr' AND doc_id < 3").select("doc_id").join(best, "doc_id", "left_anti")
+    return best.unionByName(rest.withColumn("rank", F.lit(None).cast("int")))
+
+
+def _probe(t):
+    """The vector that queries use: that of the least id."""
+    return [float(x) for x in t.embeddings.orderBy("vec_id").limit(1).select("embedding").first()[0]]
+
+
+_Q = "(SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)"
+
+
+def _cosine_sql(k: int, where: str = "true") -> str:
+    return f"WITH q AS (SELECT {_Q} AS q), s AS (SELECT vec_id, {_COSINE.format(q='q')} AS score FROM embeddings, q WHERE {where}) SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s ORDER BY rank LIMIT {k}"
+
+
+@query(_cosine_sql(10))
+def cosine_topk(t):
+    """The ten nearest vectors by exact cosine."""
+    return S.cosine_top(t.embeddings, _probe(t), "vec_id", "embedding").withColumn("score", F.round("score", 6))
+
+
+@query(_cosine_sql(10, "label IN (1, 2)"))
+def cosine_topk_eligible(t):
+    """The ten nearest among eligible vectors: eligibility is filtered before scoring."""
+    return S.cosine_top(t.embeddings, _probe(t), "vec_id", "embedding", where=F.col("label").isin(1, 2)).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 6) AS total, len(embedding) AS width FROM embeddings")
+def normalise_vectors(t):
+    """Vectors of unit length, as an index stores them."""
+    v = t.embeddings.withColumn("v", S.unit_vector(F.col("embedding")))
+    return v.select("vec_id", "label", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.size("v").alias("width"))
+
+
+@query("SELECT label, i - 1 AS position, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, unnest(range(1, 4)) AS u(i) GROUP BY ALL")
+def mean_segment_embeddings(t):
+    """Mean vectors per label, shown for the first three positions."""
+    p = t.embeddings.select("label", F.posexplode(F.slice("embedding", 1, 3)).alias("position", "x"))
+    return p.groupBy("label", "position").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+_RANKINGS = """
+WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank_1 FROM documents ORDER BY rank_1 LIMIT 20),
+b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY label DESC, vec_id) AS rank_2 FROM embeddings ORDER BY rank_2 LIMIT 20),
+f AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, rank_1, rank_2, round(coalesce(1.0 / (60 + rank_1), 0) + coalesce(1.0 / (60 + rank_2), 0), 12) AS score FROM a FULL JOIN b ON a.doc_id = b.doc_id)"""
+
+
+def _rankings(t):
+    a = S.with_rank(t.documents.select("doc_id", F.col("n_chars").alias("s")).orderBy(F.desc("s"), "doc_id").limit(20), "s", "doc_id")
+    b = S.with_rank(t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("s")).orderBy(F.desc("s"), "doc_id").limit(20), "s", "doc_id")
+    return a, b
+
+
+@query(_RANKINGS + " SELECT doc_id, rank_1, rank_2, round(score, 9) AS score FROM f")
+def rrf_fusion(t):
+    """Two rankings fused by reciprocal rank, with each list's rank."""
+    return S.rrf(list(_rankings(t)), "doc_id").select("doc_id", "rank_1", "rank_2", F.round("score", 9).alias("score"))
+
+
+@query(_RANKINGS + " SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM f WHERE rank_1 IS NOT NULL ORDER BY rank LIMIT 8")
+def hybrid_retrieve(t):
+    """Fusion in which only ids of the lexical list survive."""
+    return S.hybrid(*_rankings(t), "doc_id").select("doc_id", "rank")
+
+
+@query(_RANKINGS + " SELECT doc_id, rank_2 AS rank FROM f WHERE rank_1 IS NULL")
+def vector_rescue(t):
+    """What the vector list has and the lexical one misses."""
+    a, b = _rankings(t)
+    return b.join(a.select("doc_id"), "doc_id", "left_anti").select("doc_id", "rank")
+
+
+@query(_RANKINGS + " SELECT doc_id, row_number() OVER (ORDER BY pool, r) AS position FROM (SELECT doc_id, 0 AS pool, rank_1 AS r FROM f WHERE rank_1 IS NOT NULL UNION ALL SELECT doc_id, 1, rank_2 FROM f WHERE rank_1 IS NULL) ORDER BY position LIMIT 30")
+def candidate_pools(t):
+    """A capped union of pools in order, each id where it is first seen."""
+    a, b = _rankings(t)
+    u = a.select("doc_id", F.lit(0).alias("pool"), "rank").unionAll(b.select("doc_id", F.lit(1), "rank")).groupBy("doc_id").agg(F.min(F.struct("pool", "rank")).alias("p"))
+    best = u.orderBy("p", "doc_id").limit(30)
+    return best.select("doc_id", F.row_number().over(Window.orderBy("p")).alias("position"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars >= 4000 THEN 'HIGH' WHEN n_chars >= 1000 THEN 'MEDIUM' WHEN n_chars >= 300 THEN 'LOW' ELSE 'UNCERTAIN' END AS tier, row_number() OVER (ORDER BY CASE WHEN n_chars >= 4000 THEN 0 WHEN n_chars >= 1000 THEN 1 WHEN n_chars >= 300 THEN 2 ELSE 3 END, doc_id) AS rank FROM documents ORDER BY rank LIMIT 60")
+def rerank_tiers(t):
+    """A stable re-rank by tier."""
+    n = F.col("n_chars")
+    tier = F.when(n >= 4000, 0).when(n >= 1000, 1).when(n >= 300, 2).otherwise(3)
+    best = t.documents.select("doc_id", tier.alias("k")).orderBy("k", "doc_id").limit(60)
+    names = F.array(*[F.lit(x) for x in ("HIGH", "MEDIUM", "LOW", "UNCERTAIN")])
+    return best.select("doc_id", F.get(names, F.col("k")).alias("tier"), F.row_number().over(Window.orderBy("k", "doc_id")).alias("rank"))
+
+
+_SET = "list_distinct(list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}_-]+'), lambda x: x <> ''))"
+_TOPICS = ("the", "einer", "pour", "ción", "thend", "unknownword")
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, {_SET.format('text')} AS own FROM documents),
+s AS (SELECT doc_id, source, len(list_intersect(own, {list(_TOPICS)})) AS n_own FROM d),
+c AS (SELECT source, count(DISTINCT w) AS n_context FROM d, unnest(list_intersect(own, {list(_TOPICS)})) AS u(w) GROUP BY source)
+SELECT doc_id, 3 * n_own + n_context - n_own AS score, CASE WHEN n_own = 0 THEN 'topic_only_in_documentary_context' ELSE '' END AS excluded,
+  CASE WHEN n_own > 0 THEN row_number() OVER (PARTITION BY n_own = 0 ORDER BY 3 * n_own + n_context - n_own DESC, doc_id) END AS ranking
+FROM s JOIN c USING (source)""")
+def information_selection(t):
+    """Statements ranked by 3 x own overlap + context overlap; those without own support carry the reason."""
+    topics = F.array(*[F.lit(x) for x in _TOPICS])
+    d = t.documents.select("doc_id", "source", F.array_intersect(X.token_set("text"), topics).alias("own"))
+    # The context of a source is the union of its documents' few topic words, not of their texts.
+    c = d.select("source", F.explode("own").alias("w")).groupBy("source").agg(F.countDistinct("w").alias("n_context"))
+    s = d.join(c, "source").select("doc_id", (3 * F.size("own") + F.col("n_context") - F.size("own")).alias("score"), F.size("own").alias("n_own"))
+    ranked = s.withColumn("ranking", F.when(F.col("n_own") > 0, F.row_number().over(Window.partitionBy(F.col("n_own") == 0).orderBy(F.desc("score"), "doc_id"))))
+    return ranked.select("doc_id", "score", F.when(F.col("n_own") == 0, "topic_only_in_documentary_context").otherwise("").alias("excluded"), "ranking")
+
+
+@query(f"SELECT doc_id, len(list_intersect({_SET.format('text')}, {list(_TOPICS)})) AS overlap, row_number() OVER (ORDER BY len(list_intersect({_SET.format('text')}, {list(_TOPICS)})) DESC, doc_id) AS rank FROM documents WHERE len(list_intersect({_SET.format('text')}, {list(_TOPICS)})) > 0 ORDER BY rank LIMIT 25")
+def staged_search(t):
+    """Staged rows by overlap with the question, ties by id, limited."""
+    topics = F.array(*[F.lit(x) for x in _TOPICS])
+    s = t.documents.select("doc_id", F.size(F.array_intersect(X.token_set("text"), topics)).alias("overlap")).where("overlap > 0")
+    return C.ranked(C.top(s, "overlap", "doc_id", 25), "overlap", "doc_id").select("doc_id", "overlap", "rank")
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_has_any({_SET.format('text')}, ['tion', 'einer', 'que']) AND regexp_matches(lower(text), '\\b(the|der|les|los)\\b')")
+def topic_gate(t):
+    """Documents with a form of the topic, and a word of a family."""
+    words = F.arrays_overlap(X.token_set("text"), F.array(F.lit("tion"), F.lit("einer"), F.lit("que")))
+    return t.documents.where(words & F.lower("text").rlike("\\b(the|der|les|los)\\b")).select("doc_id")
+
+
+@query(f"SELECT conv_id, turn, list_sort(list_filter({_SET.format('text')}, lambda w: length(w) >= 4 AND w NOT IN {X.STOP_WORDS})) AS terms FROM conversations")
+def topic_terms(t):
+    """Distinct topic words of each turn, sorted."""
+    return t.conversations.select("conv_id", "turn", F.array_sort(X.topic_terms("text")).alias("terms"))
+
+
+@query("""WITH p AS (SELECT doc_id, trim(p) AS quote FROM documents, unnest(string_split(text, chr(10))) AS u(p))
+SELECT doc_id, quote, length(quote) AS n FROM p WHERE length(quote) BETWEEN 50 AND 700 AND quote[-1] IN ('.', '?', '!') AND regexp_matches(lower(quote), '(^|[^\\p{L}])(worthless|der|pour|para)([^\\p{L}]|$)')""")
+def paragraph_quotes(t):
+    """Paragraphs of quotable length that end a sentence and hold a word of the question."""
+    p = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("q")).select("doc_id", F.trim("q").alias("quote"))
+    return p.where(F.length("quote").between(50, 700) & F.col("quote").rlike("[.?!]$") & F.lower("quote").rlike("(^|[^\\p{L}])(worthless|der|pour|para)([^\\p{L}]|$)")).select("doc_id", "quote", F.length("quote").alias("n"))
+
+
+@query("SELECT state, count(*) AS n FROM (SELECT CASE WHEN b.doc_id IS NULL THEN 'stale_removed' WHEN a.doc_id IS NULL OR a.n_chars <> b.n_chars THEN 'new_or_changed' ELSE 'unchanged' END AS state FROM (SELECT doc_id, n_chars FROM documents WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT doc_id, n_chars + CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS n_chars FROM documents WHERE doc_id % 7 <> 0) b ON a.doc_id = b.doc_id) GROUP BY state")
+def vector_index_sync(t):
+    """New, changed, removed and unchanged entries between an index and its corpus."""
+    d = t.documents.select("doc_id", "n_chars", "lang")
+    old, new = d.where("doc_id % 5 <> 0"), d.where("doc_id % 7 <> 0").withColumn("n_chars", F.col("n_chars") + F.when(F.col("lang") == "fr", 1).otherwise(0))
+    return S.sync_state(old, new, "doc_id", "n_chars").groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("WITH n AS (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY source) SELECT avg(n) AS mean, list_sort(list(n))[len(list(n)) // 2 + 1] AS upper_median, round(1 - avg(n) / (SELECT count(*) FROM documents), 6) AS reduction FROM n")
+def eligible_universe_statistics(t):
+    """Mean and upper median size of the eligible sets, and how much they narrow the search."""
+    n = t.documents.where("lang = 'en'").groupBy("source").agg(F.count("*").alias("n"))
+    total = t.documents.agg(F.count("*").alias("total"))
+    s = n.agg(F.avg("n").alias("mean"), F.expr("element_at(array_sort(collect_list(n)), cast(floor(count(n) / 2) as int) + 1)").alias("upper_median"))
+    return s.join(F.broadcast(total)).select("mean", "upper_median", F.round(1 - F.col("mean") / F.col("total"), 6).alias("reduction"))  # one row each
+
+
+@query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS r FROM documents) WHERE r = 1")
+def first_passage_per_source(t):
+    """The first passage of each source by length and id."""
+    return t.documents.groupBy("source").agg(F.min(F.struct("n_chars", "doc_id")).alias("m")).select("source", "m.doc_id", "m.n_chars")
+
+
+@query(None)
+def context_anchor_budget(t):
+    """Per source the documents that fit a budget of 5,000 characters in order of id; too large ones are skipped."""
+    return S.greedy_budget(t.documents.where("doc_id % 2 = 0"), "source", ["doc_id"], "n_chars", "doc_id", 5000)
+
+
+@query("""WITH r AS (SELECT item_id, min(CASE WHEN b.item_id % 3 = 0 THEN NULL ELSE b.item_id % 12 + 1 END) AS rank FROM benchmark b GROUP BY item_id)
+SELECT item_id % 2 AS category, count(*) AS n, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) AS recall_1, avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END) AS recall_3, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END) AS recall_5,
+  avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END) AS recall_10, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr, avg(CASE WHEN rank IS NULL THEN 1.0 ELSE 0 END) AS no_result FROM r GROUP BY 1""")
+def recall_mrr(t):
+    """Recall at cutoffs, mean reciprocal rank and the share without result, per category."""
+    from tessera.operators import metrics as M
+
+    r = t.benchmark.select((F.col("item_id") % 2).alias("category"), F.when(F.col("item_id") % 3 != 0, F.col("item_id") % 12 + 1).alias("rank"))
+    return M.ranking_quality(r, "rank", ["category"]).withColumn("mrr", F.round("mrr", 9))
+
+
+@query("SELECT n_texts, count(*) AS n FROM (SELECT item_id, count(doc_id) AS n_texts FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id) GROUP BY n_texts")
+def quotes_by_document_count(t):
+    """How many documents hold each benchmark passage word for word."""
+    from tessera.operators import spans as P
+
+    found = P.locate(t.benchmark, t.documents, "item_id", "text", "doc_id", "text")
+    return found.groupBy("n_texts").agg(F.count("*").alias("n"))
+
+
+@query("""WITH h AS (SELECT item_id, doc_id, d.text AS t, b.text AS q FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+u AS (SELECT item_id, count(*) AS n, min(doc_id) AS doc_id, min(CASE WHEN length(t) - length(replace(t, q, '')) = length(q) THEN instr(t, q) - 1 END) AS start FROM h GROUP BY item_id)
+SELECT item_id, coalesce(n, 0) AS n_texts, CASE WHEN n = 1 AND start IS NOT NULL THEN doc_id END AS doc_id, CASE WHEN n = 1 THEN start END AS start FROM benchmark LEFT JOIN u USING (item_id)""")
+def span_recover_exact(t):
+    """The place of each passage that occurs once, in one document."""
+    from tessera.operators import spans as P
+
+    return P.locate(t.benchmark, t.documents, "item_id", "text", "doc_id", "text")
+
+
+@query("SELECT source, lang, count(*) AS n FROM (SELECT DISTINCT source, lang, n_chars FROM documents) GROUP BY ALL")
+def duplicate_actions(t):
+    """Actions counted once per identity."""
+    return t.documents.dropDuplicates(["source", "lang", "n_chars"]).groupBy("source", "lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN s.side IS NULL THEN 'x' ELSE s.side END AS side, count(*) AS n FROM (SELECT 'left' AS side FROM (SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT SELECT vec_id FROM embeddings) UNION ALL SELECT 'right' FROM (SELECT vec_id FROM embeddings EXCEPT SELECT doc_id FROM documents WHERE lang = 'en')) s GROUP BY 1")
+def parity_diff(t):
+    """Rows that only one of two result sets has."""
+    a, b = t.documents.where("lang = 'en'").select("doc_id"), t.embeddings.select(F.col("vec_id").alias("doc_id"))
+    return R.difference(a, b, ["doc_id"]).groupBy("side").agg(F.count("*").alias("n"))
