@@ -1 +1,221 @@
-"""Queries."""
+"""Ingestion: profiles, projections, identities, segments, sentences and spans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.catalog.registry import query
+from tessera.functions import numeric as N
+from tessera.functions import text as X
+from tessera.operators import profile as P
+from tessera.operators import spans as S
+
+
+@query("""WITH c AS (SELECT unnest(['p_partkey', 'p_brand', 'p_size', 'p_retailprice']) AS "column", unnest([p_partkey::VARCHAR, p_brand, p_size::VARCHAR, p_retailprice::VARCHAR]) AS v FROM part)
+SELECT "column", replace("column", '_', ' ') AS label, CASE WHEN bool_and(regexp_matches(v, '^[-+]?[0-9]+(\\.[0-9]+)?$')) THEN 'numeric' ELSE 'categorical' END AS datatype, false AS nullable, count(*) AS n_rows, count(DISTINCT v) AS n_distinct FROM c GROUP BY 1""")
+def column_profile(t):
+    """Datatype, nullability and distinct values of columns read as text."""
+    return P.profile(t.part, ["p_partkey", "p_brand", "p_size", "p_retailprice"]).select("column", "label", "datatype", "nullable", "n_rows", "n_distinct")
+
+
+@query("""SELECT "column", count(*) AS n_rows, count(*) FILTER (trim(coalesce(v, '')) = '') AS n_empty FROM (SELECT unnest(['toxic', 'quality']) AS "column", unnest([toxic::VARCHAR, quality::VARCHAR]) AS v FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY 1""")
+def missingness_profile(t):
+    """Empty cells per column."""
+    return P.profile(t.documents.join(t.labels, "doc_id", "left"), ["toxic", "quality"]).select("column", "n_rows", "n_empty")
+
+
+@query("""SELECT p_partkey, unnest(['p_brand', 'p_type', 'p_size']) AS "column", unnest([p_brand, p_type, p_size::VARCHAR]) AS value FROM part""")
+def unpivot_to_values(t):
+    """A table as (entity, property, value)."""
+    return P.unpivot(t.part, ["p_partkey"], ["p_brand", "p_type", "p_size"])
+
+
+@query("SELECT s_suppkey::VARCHAR AS subject, 'basedIn' AS relation, s_nationkey::VARCHAR AS object FROM supplier UNION ALL SELECT c_custkey::VARCHAR, 'inSegment', c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL")
+def relation_projection(t):
+    """Foreign keys as one edge list."""
+    return P.relations([(t.supplier, "s_suppkey", "basedIn", "s_nationkey"), (t.customer, "c_custkey", "inSegment", "c_mktsegment")])
+
+
+@query("SELECT p_partkey AS sample_id, p_brand AS material, p_size::DOUBLE AS size_mm FROM part")
+def header_alias_etl(t):
+    """Columns renamed by the aliases of their labels, then typed."""
+    raw = t.part.select(F.col("p_partkey").alias("Sample No."), F.col("p_brand").alias("MATERIAL"), F.col("p_size").cast("string").alias("Size (mm)"))
+    out = P.rename(raw, {"sample no": "sample_id", "material": "material", "size": "size_mm"})
+    return out.withColumn("size_mm", F.col("size_mm").try_cast("double"))
+
+
+@query("SELECT i AS row_id, k AS kind, a::DOUBLE AS value, l::DOUBLE AS lower, u::DOUBLE AS upper FROM (VALUES (1, 'range', NULL, 21.5, 21.7), (2, 'approximate', 21.5, NULL, NULL), (3, 'number', 0.27, NULL, NULL), (4, 'empty', NULL, NULL, NULL), (5, 'text', NULL, NULL, NULL), (6, 'number', -3.0, NULL, NULL), (7, 'range', NULL, 5.0, 9.0)) v(i, k, a, l, u)")
+def table_value_parse(t):
+    """Cells as ranges, approximations, numbers, empties or text."""
+    cells = t.spark.createDataFrame([(1, "21.5 - 21.7"), (2, "~ 21.5"), (3, "0.27 mm"), (4, " n/a "), (5, "Insignificant"), (6, "-3"), (7, "5 to 9 s")], "row_id int, raw string")
+    return cells.select("row_id", N.table_value(F.col("raw")).alias("v")).select("row_id", "v.kind", "v.value", "v.lower", "v.upper")
+
+
+@query("SELECT doc_id, 'doc-' || substr(sha256(source || '|' || doc_id::VARCHAR), 1, 16) AS stable_id FROM documents")
+def stable_ids(t):
+    """Identities that content decides."""
+    return t.documents.select("doc_id", X.stable_id("doc", "source", "doc_id").alias("stable_id"))
+
+
+@query("SELECT doc_id, sha256('model-1|passage|' || sha256(text)) AS content_key FROM documents")
+def content_keys(t):
+    """Keys of an embedding cache."""
+    return t.documents.select("doc_id", F.sha2(F.concat_ws("|", F.lit("model-1"), F.lit("passage"), F.sha2("text", 256)), 256).alias("content_key"))
+
+
+_WINDOWS = """WITH d AS (SELECT doc_id, trim(text) AS t FROM documents)
+SELECT doc_id, i AS start, least(i + {w}, length(t)) AS "end", sha256(substr(t, i + 1, {w})) AS digest FROM d, unnest(range(0, length(t), {s})) AS u(i) WHERE length(trim(substr(t, i + 1, {w}))) >= {m}"""
+
+
+@query(_WINDOWS.format(w=4000, s=3500, m=80))
+def segment_windows(t):
+    """Overlapping windows of 4,000 characters every 3,500; short ones are left out."""
+    return t.documents.select("doc_id", F.explode(X.windows("text", 4000, 3500, 80)).alias("w")).select("doc_id", "w.start", "w.end", F.sha2("w.text", 256).alias("digest"))
+
+
+@query(_WINDOWS.format(w=2800, s=2800, m=1))
+def embedding_segments(t):
+    """Windows of 2,800 characters without overlap."""
+    return t.documents.select("doc_id", F.explode(X.windows("text", 2800, 2800)).alias("w")).select("doc_id", "w.start", "w.end", F.sha2("w.text", 256).alias("digest"))
+
+
+@query("""SELECT doc_id, position, CASE WHEN regexp_matches(s, '(?i)(worthless|idiot|stupid)') THEN 'conclusion' WHEN regexp_matches(s, '(?i)(license|released|rights)') THEN 'safety' WHEN regexp_matches(s, '[0-9]') THEN 'condition' ELSE 'observation' END AS label, length(s) AS n
+FROM (SELECT doc_id, unnest(l) AS s, unnest(range(0, len(l))) AS position FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents))""")
+def sentence_candidates(t):
+    """Sentences with the label of the first rule they meet."""
+    rules = [("conclusion", "(worthless|idiot|stupid)"), ("safety", "(license|released|rights)"), ("condition", "[0-9]")]
+    s = t.documents.select("doc_id", F.posexplode(X.sentences("text")).alias("position", "s"))
+    return s.select("doc_id", "position", X.first_label(F.col("s"), rules, "observation").alias("label"), F.length("s").alias("n"))
+
+
+@query("""SELECT doc_id, list_filter(['license', 'secret', 'contact'], lambda x: (x = 'license' AND regexp_matches(text, '(?i)(license|rights reserved)')) OR (x = 'secret' AND regexp_matches(text, '(?i)(token|key) *=')) OR (x = 'contact' AND regexp_matches(text, '@[a-z0-9.]+'))) AS errors FROM documents""")
+def role_errors(t):
+    """All rules that a statement breaks, in order."""
+    rules = [("license", "(license|rights reserved)"), ("secret", "(token|key) *="), ("contact", "@[a-z0-9.]+")]
+    return t.documents.select("doc_id", X.all_labels(F.col("text"), rules).alias("errors"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(must|shall|should|do not) ')")
+def normative_instructions(t):
+    """Texts with normative wording."""
+    return t.documents.where(F.col("text").rlike("(?i)(must|shall|should|do not) ")).select("doc_id")
+
+
+@query("""SELECT doc_id, length(text) AS n_chars, len(regexp_extract_all(text, '[0-9]+')) AS n_numbers, len(regexp_extract_all(text, '[.!?]')) AS n_sentences, len(string_split(text, chr(10))) AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, '|'))) AS n_table_lines FROM documents""")
+def document_complexity(t):
+    """Characters, numbers, sentence ends, lines and table lines of each document."""
+    return t.documents.select(
+        "doc_id",
+        F.length("text").alias("n_chars"),
+        F.regexp_count("text", F.lit("[0-9]+")).alias("n_numbers"),
+        F.regexp_count("text", F.lit("[.!?]")).alias("n_sentences"),
+        F.size(F.split("text", "\n")).alias("n_lines"),
+        F.size(F.filter(F.split("text", "\n"), lambda x: x.contains("|"))).alias("n_table_lines"),
+    )
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, '[-+]?[0-9]+(?:\\.[0-9]+)?\\s*(?:mm|cm|m|s|%)[^A-Za-z0-9]')) > 0 AS has_quantity FROM documents""")
+def quantity_mentions(t):
+    """Documents that mention a number with a unit."""
+    return t.documents.select("doc_id", F.col("text").rlike("[-+]?[0-9]+(?:\\.[0-9]+)?\\s*(?:mm|cm|m|s|%)[^A-Za-z0-9]").alias("has_quantity"))
+
+
+_SPANS = "spans AS (SELECT doc_id % 50 AS d, (doc_id * 37) % 900 AS start, (doc_id * 37) % 900 + n_chars % 40 + 5 AS \"end\" FROM documents)"
+
+
+def _spans(t):
+    k = F.col("doc_id")
+    return t.documents.select((k % 50).alias("d"), ((k * 37) % 900).alias("start"), ((k * 37) % 900 + F.col("n_chars") % 40 + 5).alias("end"))
+
+
+@query(f"""WITH {_SPANS}, r AS (SELECT *, max("end") OVER (PARTITION BY d ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT d, min(start) AS start, max("end") AS "end", count(*) AS n_spans FROM i GROUP BY d, island""")
+def merge_overlapping_spans(t):
+    """Overlapping spans of a text as one."""
+    return S.merge(_spans(t), ["d"])
+
+
+@query(f"""WITH {_SPANS} SELECT a.d, count(*) AS n_pairs FROM spans a JOIN (SELECT d, i * 100 AS s, i * 100 + 100 AS e FROM (SELECT DISTINCT d FROM spans), unnest(range(0, 10)) u(i)) b ON a.d = b.d AND a.start < b.e AND a."end" > b.s GROUP BY a.d""")
+def coverage_spans(t):
+    """Spans and the segments that they touch."""
+    a = _spans(t).select("d", F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+    b = a.select("d").distinct().select("d", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("d", (F.col("i") * 100).alias("b_start"), (F.col("i") * 100 + 100).alias("b_end"))
+    return S.overlapping(a, b, "d").groupBy("d").agg(F.count("*").alias("n_pairs"))
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS last_user_turn FROM conversations")
+def section_carry_forward(t):
+    """The last heading at or before each segment; here, the last user turn."""
+    c = t.conversations.withColumn("h", F.when(F.col("role") == "user", F.col("turn")))
+    return S.carry_forward(c, ["conv_id"], ["turn"], "h", "last_user_turn").select("conv_id", "turn", "last_user_turn")
+
+
+@query("SELECT conv_id, max(turn) FILTER (role = 'user') AS turn, arg_max(sha256(text), turn) FILTER (role = 'user' AND text IS NOT NULL) AS digest FROM conversations GROUP BY conv_id")
+def conversation_referent(t):
+    """What a conversation last referred to: its last user turn."""
+    user = F.when(F.col("role") == "user", F.col("turn"))
+    return t.conversations.groupBy("conv_id").agg(F.max(user).alias("turn"), F.max_by(F.sha2("text", 256), user).alias("digest"))
+
+
+@query("SELECT l_orderkey, l_linenumber, list(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM lineitem")
+def adjacent_context_rows(t):
+    """Each row with up to two neighbours on either side."""
+    return S.neighbours(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity", 2, "around").select("l_orderkey", "l_linenumber", "around")
+
+
+@query("""WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+SELECT conv_id, turn FROM p WHERE regexp_matches(text, '^[a-zà-ÿ]') AND NOT regexp_matches(before, '[.!?]\\s*$')""")
+def page_continuation(t):
+    """Parts that go on where the one before was not finished."""
+    from pyspark.sql import Window
+
+    p = t.conversations.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return p.where(F.col("text").rlike("^[a-zà-ÿ]") & ~F.col("before").rlike("[.!?]\\s*$")).select("conv_id", "turn")
+
+
+@query("SELECT doc_id, len(l) - len(list_distinct(l)) AS n_repeated FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)")
+def repeated_lines(t):
+    """Header and footer candidates: lines that a document repeats."""
+    lines = F.filter(X.paragraphs("text"), lambda x: x != "")
+    return t.documents.select("doc_id", lines.alias("l")).select("doc_id", (F.size("l") - F.size(F.array_distinct("l"))).alias("n_repeated"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda x: length(x) > 3)) AS t FROM conversations),
+p AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM w)
+SELECT conv_id, turn, coalesce(len(list_intersect(t, b)), 0) AS n_shared FROM p""")
+def derivation_context(t):
+    """Words that a block shares with the block before it."""
+    from pyspark.sql import Window
+
+    w = t.conversations.select("conv_id", "turn", F.array_distinct(F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda x: F.length(x) > 3)).alias("t"))
+    p = w.withColumn("b", F.lag("t").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return p.select("conv_id", "turn", F.coalesce(F.size(F.array_intersect("t", "b")), F.lit(0)).alias("n_shared"))
+
+
+@query("SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) = 1 AND p_brand LIKE '%2%'")
+def unique_identity_publish(t):
+    """Identities that occur once and look like one."""
+    return t.part.groupBy("p_brand", "p_size").agg(F.count("*").alias("n")).where("n = 1 AND p_brand LIKE '%2%'")
+
+
+@query("""SELECT page_id, url, strip[1:40] AS head, length(strip) AS n FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style|head)[^>]*>.*?</(script|style|head)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS strip FROM pages)""")
+def html_text_extract(t):
+    """Page text before segmentation: scripts, styles and tags stripped."""
+    text = F.regexp_replace("html", "(?s)<(script|style|head)[^>]*>.*?</(script|style|head)>", " ")
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), "\\s+", " "))
+    return t.pages.select("page_id", "url", text.alias("s")).select("page_id", "url", F.substring("s", 1, 40).alias("head"), F.length("s").alias("n"))
+
+
+@query("SELECT lang, n_mention, count(*) AS n FROM (SELECT lang, CASE WHEN regexp_matches(' ' || lower(text) || ' ', '[^\\p{L}\\p{N}-](the)[^\\p{L}\\p{N}-]') THEN 1 ELSE 0 END AS n_mention FROM documents) GROUP BY ALL")
+def mention_by_word(t):
+    """Whole-word mentions of an alias."""
+    return t.documents.select("lang", X.mentions(F.col("text"), F.lit("the")).cast("int").alias("n_mention")).groupBy("lang", "n_mention").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(text), 'der') AND contains(lower(text), 'the') THEN 'AMBIGUOUS' WHEN contains(lower(text), 'der') THEN 'de' WHEN contains(lower(text), 'the') THEN 'en' ELSE 'UNKNOWN' END AS concept FROM documents")
+def lexicon_substring(t):
+    """Substring aliases: one concept, several (ambiguous) or none."""
+    low = F.lower("text")
+    a, b = F.contains(low, F.lit("der")), F.contains(low, F.lit("the"))
+    return t.documents.select("doc_id", F.when(a & b, "AMBIGUOUS").when(a, "de").when(b, "en").otherwise("UNKNOWN").alias("concept"))
