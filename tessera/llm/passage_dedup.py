@@ -44,7 +44,8 @@ def anchors(data: np.ndarray, prefix: np.ndarray, span: int, core: int) -> tuple
     edge = np.zeros(width - 1, np.uint64)
     # The greatest of the window minima over the windows that hold a place: equal to its hash if it is one of them.
     chosen = np.flatnonzero(h == _slide(np.concatenate([edge, least, edge]), width, np.maximum))
-    return chosen, h[chosen]
+    # Least hashes are all small: mixed again, they fill the hash space evenly.
+    return chosen, mix64(h[chosen])
 
 
 class _Batch:
