@@ -18,7 +18,11 @@ def csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     for c in df.columns:
         bad = bad | F.coalesce(F.contains(F.col(f"`{c}`"), F.lit("�")), F.lit(False))
     if any("�" in c for c in df.columns) or df.where(bad).take(1):
-        df = raw.option("encoding", "windows-1252").csv(path)
+        # Latin-1 and Windows-1252 differ in 0x80 to 0x9F only.
+        high = [(bytes([b]).decode("latin-1"), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+        high = [(a, b) for a, b in high if b]
+        df = raw.option("encoding", "iso-8859-1").csv(path)
+        df = df.select(*[F.translate(F.col(f"`{c}`"), "".join(a for a, _ in high), "".join(b for _, b in high)).alias(c) for c in df.columns])
     return df.select(*[F.trim(F.col(f"`{c}`")).alias(c.lstrip("﻿").strip()) for c in df.columns])
 
 
@@ -49,7 +53,8 @@ def binaries(spark: SparkSession, path: str) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a line that does not parse is kept in _corrupt."""
-    return spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    return spark.read.text(path).select(F.from_json("value", f"{schema}, _corrupt string", options).alias("r")).select("r.*")
 
 
 def write_once(df: DataFrame, path: str) -> None:
