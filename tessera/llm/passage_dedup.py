@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, prefix_hash, shuffle_width, span_hash
+from tessera.llm.common import BASE_INVERSE, mix64, powers, prefix_hash, shuffle_width, span_hash
 from tessera.llm.suffix_array import suffix_array
 
 _LAST = np.iinfo(np.int64).max
@@ -33,18 +33,39 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, prefix: np.ndarray, span: int, core: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the core strings that are least in some window."""
+#: Places within a stretch of a text are kept in the low bits beside the high bits of a hash.
+_PLACE = np.uint64((1 << 24) - 1)
+_STRETCH = 1 << 23
+#: Bytes of texts that are hashed in one go.
+_BLOCK = 1 << 17
+
+
+def anchors(prefix: np.ndarray, bounds: np.ndarray, span: int, core: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the core strings that are least, and of equals the first, in some window.
+
+    prefix is that of several texts one after another, bounds where they begin and end; no window crosses from one
+    to the next.
+    """
     width = span - core + 1
-    if len(data) < span:
+    n = len(prefix) - core
+    if n < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(len(data) - core + 1)
-    h = span_hash(prefix, at, at + core)
-    least = _slide(h, width, np.minimum)
-    edge = np.zeros(width - 1, np.uint64)
-    # The greatest of the window minima over the windows that hold a place: equal to its hash if it is one of them.
-    chosen = np.flatnonzero(h == _slide(np.concatenate([edge, least, edge]), width, np.maximum))
-    # Least hashes are all small: mixed again, they fill the hash space evenly.
+    h = prefix[core:] - prefix[:n]
+    h *= powers(BASE_INVERSE, n)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    inside = np.ones(n - width + 1, bool)
+    for end in bounds[1:-1].tolist():
+        inside[max(0, end - span + 1) : end] = False
+    found = []
+    for begin in range(0, n - width + 1, _STRETCH):
+        key = h[begin : begin + _STRETCH + width - 1] & ~_PLACE
+        key |= np.arange(len(key), dtype=np.uint64)
+        least = _slide(key, width, np.minimum)[inside[begin : begin + _STRETCH]] & _PLACE
+        # The first of the least places never moves back as the window moves on.
+        if len(least):
+            found.append(least[np.flatnonzero(np.diff(least, prepend=_PLACE))].astype(np.int64) + begin)
+    chosen = np.unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.zeros(0, np.int64)
+    # Least hashes are all small: mixed, they fill the hash space evenly.
     return chosen, mix64(h[chosen])
 
 
@@ -53,21 +74,23 @@ class _Batch:
 
     def __init__(self, ids: pd.Series, texts: pd.Series, span: int, core: int):
         self.span, self.core = span, core
-        self.data = [np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
-        self.doc = np.array([_LAST if i is None or i != i else int(i) for i in ids], np.int64)
-        parts: list[tuple[np.ndarray, ...]] = []
+        doc = np.array([_LAST if i is None or i != i else int(i) for i in ids], np.int64)
+        #: Documents in the order of their ids; `source` has the row that each came from.
+        self.source = np.argsort(doc, kind="stable")
+        self.doc = doc[self.source]
+        texts = texts.to_numpy(object)
+        self.data = [np.frombuffer((texts[i] or "").encode("utf-8", "surrogatepass"), np.uint8) for i in self.source]
+        parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        block, held = [], 0
         for k, data in enumerate(self.data):
-            if len(data) < span:
-                continue
-            prefix = prefix_hash(data)
-            p, h = anchors(data, prefix, span, core)
-            low, high = np.maximum(p - (span - core), 0), np.minimum(p + span, len(data))
-            context = mix64(span_hash(prefix, low, p) * np.uint64(0x9E3779B97F4A7C15) ^ span_hash(prefix, p, high)) >> np.uint64(16)
-            parts.append((h, context, np.full(len(p), k), p))
-        if not parts:
-            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            if len(data) >= span:
+                block.append(k)
+                held += len(data)
+            if block and (held >= _BLOCK or k + 1 == len(self.data)):
+                parts.append(self._entries(block))
+                block, held = [], 0
         anchor, context, row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((place, self.doc[row], context, anchor))
+        order = np.lexsort((context, anchor))  # stable: members stay in the order of document and place
         self.anchor, self.context, self.row, self.place = anchor[order], context[order], row[order], place[order]
         new = np.ones(len(order), bool)
         new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.context[1:] != self.context[:-1])
@@ -75,6 +98,17 @@ class _Batch:
         self.first = np.flatnonzero(new)  # the member that comes first, of each entry
         self.copies = np.diff(np.append(self.first, len(order))) > 1
 
+    def _entries(self, block: list[int]) -> tuple[np.ndarray, ...]:
+        """(anchor, context, row, place) of some texts, hashed in one go."""
+        span, core = self.span, self.core
+        bounds = np.cumsum([0, *(len(self.data[k]) for k in block)])
+        prefix = prefix_hash(np.concatenate([self.data[k] for k in block]))
+        p, h = anchors(prefix, bounds, span, core)
+        text = np.searchsorted(bounds, p, "right") - 1
+        low, high = np.maximum(p - (span - core), bounds[text]), np.minimum(p + span, bounds[text + 1])
+        context = mix64(span_hash(prefix, low, p) * np.uint64(0x9E3779B97F4A7C15) ^ span_hash(prefix, p, high)) >> np.uint64(16)
+        return h, context, np.array(block, np.int64)[text], p - bounds[text]
+
     def bounds(self, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(x) for x in self.data], np.int64)
         place = self.place[member]
@@ -136,11 +170,12 @@ def verdicts(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np
     return result
 
 
-def _starts(text: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Places where a symbol starts: a byte up to the space, chosen by the two bytes after it, so equal bytes give
-    equal symbols. The two must lie in the same context."""
+def _starts(text: np.ndarray, low: np.ndarray, high: np.ndarray, every: bool) -> np.ndarray:
+    """Places where a symbol starts: a byte up to the space, unless `every` about half of them, chosen by the two bytes
+    after it, so equal bytes give equal symbols. The two must lie in the same context."""
     at = np.flatnonzero(text[:-2] <= 32)
-    at = at[(((text[at + 1] >> 1) ^ text[at + 2]) & 1) == 0]
+    if not every:
+        at = at[(((text[at + 1] >> 1) ^ text[at + 2]) & 1) == 0]
     k = np.searchsorted(low, at, "right") - 1
     return at[at + 2 < high[k]]
 
@@ -161,16 +196,19 @@ def decide(context: list[bytes], left: np.ndarray, anchor: np.ndarray, doc: np.n
     count = np.maximum(size - span + 1, 0)
     owner = np.repeat(np.arange(len(context)), count)
     start = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + low[owner]
-    symbols = _starts(text, low, high)
-    nxt = np.searchsorted(symbols, start)
-    gap = np.where(nxt < len(symbols), symbols[np.minimum(nxt, max(0, len(symbols) - 1))] - start if len(symbols) else span, span)
-    # Where a span holds no symbol start, all contexts of that anchor are read byte by byte.
-    odd = np.unique(anchor[owner[gap > span - 3]])
-    by_byte = np.isin(anchor, odd)
-    for mine, bytewise in ((~by_byte, False), (by_byte, True)):
+    # Symbols of about two words, or of one, or of a byte, for anchors one of whose spans would hold no symbol start.
+    rest = np.ones(len(context), bool)
+    for symbols in (_starts(text, low, high, False), _starts(text, low, high, True), None):
+        if symbols is None:
+            mine = rest
+        else:
+            nxt = np.searchsorted(symbols, start)
+            gap = np.where(nxt < len(symbols), symbols[np.minimum(nxt, max(0, len(symbols) - 1))] - start if len(symbols) else span, span)
+            mine = rest & ~np.isin(anchor, np.unique(anchor[owner[gap > span - 3]]))
         take = mine[owner]
         if take.any():
-            _classes(text, low[mine], high[mine], np.arange(len(text)) if bytewise else symbols, bytewise, owner[take], start[take], low, left, doc, place, span, out)
+            _classes(text, low[mine], high[mine], np.arange(len(text)) if symbols is None else symbols, symbols is None, owner[take], start[take], low, left, doc, place, span, out)
+        rest = rest & ~mine
     return out
 
 
@@ -358,7 +396,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
             else:
                 kept = data[~covered].tobytes()
                 removed, spans = int(covered.sum()), int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
-            out.append((b["id"].iloc[k], len(data), removed, spans, hashlib.sha256(kept).hexdigest(), *([hashlib.md5(data.tobytes()).digest(), kept.decode("utf-8", "ignore")] if keep_text else [])))
+            out.append((b["id"].iloc[x.source[k]], len(data), removed, spans, hashlib.sha256(kept).hexdigest(), *([hashlib.md5(data.tobytes()).digest(), kept.decode("utf-8", "ignore")] if keep_text else [])))
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text_key", "kept"] if keep_text else [])]
         return pd.DataFrame(out, columns=names)
 
