@@ -81,6 +81,38 @@ def probabilities(net: Network, data: np.ndarray) -> np.ndarray:
     return x
 
 
+def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean cross-entropy of all positions of bytes x (T, N) with labels y (N), and its gradient for each of net.all(),
+    by backpropagation through time."""
+    window, n = x.shape
+    hidden = net.hidden
+    read = [_read(net, way, x, True) for way in (0, 1)]
+    p = read[0][0] @ net.output[0] + read[1][0] @ net.output[1] + net.bias
+    p = np.exp(p - p.max(-1, keepdims=True))
+    p /= p.sum(-1, keepdims=True)
+    loss = -float(np.log(p[:, np.arange(n), y] + 1e-12).mean())
+    p[:, np.arange(n), y] -= 1
+    p /= np.float32(n * window)
+    grads: list[list[np.ndarray]] = [[], [], [], []]
+    for way in (0, 1):
+        states, kept = read[way]
+        d_out = np.einsum("tnh,tnl->hl", states, p)
+        d_in, d_gates, d_cand = np.zeros_like(net.inputs[way]), np.zeros_like(net.gates[way]), np.zeros_like(net.candidate[way])
+        above, carry = p @ net.output[way].T, np.zeros((n, hidden), np.float32)
+        for t, h, z, r, c in reversed(kept):
+            dh = carry + above[t]
+            dc = dh * z * (1 - c * c)
+            d_reset = dc @ net.candidate[way].T
+            dzr = np.concatenate([dh * (c - h) * z * (1 - z), d_reset * h * r * (1 - r)], 1)
+            carry = dh * (1 - z) + d_reset * r + dzr @ net.gates[way].T
+            d_gates += h.T @ dzr
+            d_cand += (r * h).T @ dc
+            np.add.at(d_in, x[t], np.concatenate([dzr, dc], 1))
+        for g, d in zip(grads, (d_in, d_gates, d_cand, d_out), strict=True):
+            g.append(d)
+    return loss, [*grads[0], *grads[1], *grads[2], *grads[3], p.sum((0, 1))]
+
+
 def train(samples: list[tuple[bytes, int]], labels: list[str], hidden: int = 8, window: int = 64, steps: int = 260, batch: int = 256, rate: float = 0.03, seed: int = 7) -> Network:
     """Adam on the cross-entropy of every position, by backpropagation through time over windows."""
     net, rng = fresh(labels, hidden, seed), np.random.default_rng(seed)
@@ -96,32 +128,7 @@ def train(samples: list[tuple[bytes, int]], labels: list[str], hidden: int = 8,
     mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
         take = np.concatenate([rng.choice(x, -(-batch // len(by_class))) for x in by_class])
-        x, y = data[take].T, targets[take]
-        n = x.shape[1]
-        read = [_read(net, way, x, True) for way in (0, 1)]
-        p = read[0][0] @ net.output[0] + read[1][0] @ net.output[1] + net.bias
-        p = np.exp(p - p.max(-1, keepdims=True))
-        p /= p.sum(-1, keepdims=True)
-        p[:, np.arange(n), y] -= 1
-        p /= np.float32(n * window)
-        grads: list[list[np.ndarray]] = [[], [], [], []]
-        for way in (0, 1):
-            states, kept = read[way]
-            d_out = np.einsum("tnh,tnl->hl", states, p)
-            d_in, d_gates, d_cand = np.zeros_like(net.inputs[way]), np.zeros_like(net.gates[way]), np.zeros_like(net.candidate[way])
-            above, carry = p @ net.output[way].T, np.zeros((n, hidden), np.float32)
-            for t, h, z, r, c in reversed(kept):
-                dh = carry + above[t]
-                dc = dh * z * (1 - c * c)
-                d_reset = dc @ net.candidate[way].T
-                dzr = np.concatenate([dh * (c - h) * z * (1 - z), d_reset * h * r * (1 - r)], 1)
-                carry = dh * (1 - z) + d_reset * r + dzr @ net.gates[way].T
-                d_gates += h.T @ dzr
-                d_cand += (r * h).T @ dc
-                np.add.at(d_in, x[t], np.concatenate([dzr, dc], 1))
-            for g, d in zip(grads, (d_in, d_gates, d_cand, d_out), strict=True):
-                g.append(d)
-        flat = [*grads[0], *grads[1], *grads[2], *grads[3], p.sum((0, 1))]
+        _, flat = gradients(net, data[take].T, targets[take])
         now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for i, (w, g) in enumerate(zip(params, flat, strict=True)):
             mean[i] += 0.1 * (g - mean[i])
