@@ -137,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     wanted = frozenset(in_toxic)
     in_clean = {r["stem"]: r["n"] for r in clean.mapInPandas(counted(wanted), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()}
     weight = {s: math.log((a + 0.5) / (n_toxic + 1)) - math.log((in_clean.get(s, 0) + 0.5) / (n_clean + 1)) for s, a in in_toxic.items()}
-    strong = frozenset(s for s, w in weight.items() if w >= 2.5 and in_clean.get(s, 0) <= 0.002 * n_clean)
+    strong = frozenset(s for s, w in weight.items() if w >= 2.5 and in_clean.get(s, 0) <= 0.0005 * n_clean)
 
     def shown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -177,12 +177,20 @@ def _calibrated(lexicon: Lexicon, rows: DataFrame) -> Lexicon:
     sample = rows.mapInPandas(run, "y int, x double").toPandas().sort_values(["y", "x"])
     y, x = sample["y"].to_numpy(float), sample["x"].to_numpy(float)
     weights = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    theta, design = np.array([-2.0, 1.0]), np.stack([np.ones_like(x), x], 1)
-    for _ in range(50):
+    theta, design, ridge = np.array([-2.0, 1.0]), np.stack([np.ones_like(x), x], 1), 1e-5
+
+    def loss(t: np.ndarray) -> float:
+        z = design @ t
+        return float((weights * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * t @ t)
+
+    for _ in range(60):
         p = 1 / (1 + np.exp(-design @ theta))
-        grad = design.T @ (weights * (p - y)) + 1e-3 * theta
-        hess = (design * (weights * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-        theta = theta - np.linalg.solve(hess, grad)
+        grad = design.T @ (weights * (p - y)) + ridge * theta
+        hess = (design * (weights * p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
+        step = np.linalg.solve(hess, grad)
+        while loss(theta - step) > loss(theta) and np.abs(step).max() > 1e-9:
+            step /= 2
+        theta = theta - step
     return Lexicon(lexicon.weights, lexicon.exceptions, float(theta[0]), float(max(theta[1], 0.0)), lexicon.smoothing)
 
 
