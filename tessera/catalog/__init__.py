@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.catalog import evidence, extraction, facts, graphs, ingestion, records, search, windows
+from tessera.catalog import evidence, extraction, facts, graphs, ingestion, records, search, selection, windows
 from tessera.catalog.registry import ORACLES, QUERIES
 
 FLAGSHIP = "classify_direct_related"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "evidence", "extraction", "facts", "graphs", "ingestion", "records", "search", "windows"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "evidence", "extraction", "facts", "graphs", "ingestion", "records", "search", "selection", "windows"]
