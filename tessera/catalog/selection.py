@@ -78,7 +78,7 @@ def taxonomy_edge_validation(t):
 
 
 @query("""WITH r AS (SELECT source AS q, doc_id AS item, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
-b AS (SELECT d.source AS q, min(CASE WHEN d.lang = 'de' THEN r.rank END) AS rank FROM documents d JOIN r ON r.q = d.source AND r.item = d.doc_id GROUP BY 1)
+b AS (SELECT d.source AS q, min(CASE WHEN d.lang = 'de' THEN r.rank END) AS rank FROM documents d JOIN r ON r.q = d.source AND r.item = d.doc_id WHERE d.lang = 'de' GROUP BY 1)
 SELECT 'all' AS category, count(*) AS n, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) AS recall_1, avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END) AS recall_3, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END) AS recall_5, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END) AS recall_10,
   round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr, avg(CASE WHEN rank IS NULL THEN 1.0 ELSE 0 END) AS no_result FROM b""")
 def graph_constrained_ranking(t):
