@@ -65,7 +65,10 @@ def paragraphs(text: Column | str) -> Column:
 
 
 def sentences(text: Column | str) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit("[^.!?\n]+[.!?]"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
+    """Runs that end in a full stop, question or exclamation mark. The mark is optional in the pattern and asked for
+    afterwards: a long line without one is then read once, not once from each of its characters."""
+    found = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit("[^.!?\n]+[.!?]?"), F.lit(0))
+    return F.filter(F.transform(F.filter(found, lambda s: F.substring(s, -1, 1).isin(".", "!", "?")), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def first_label(text: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
