@@ -128,3 +128,43 @@ def projection_report(t):
     rows = t.orders.join(c, "o_custkey", "left").select("o_orderkey", route.alias("route"))
     # Counts are joined on, so that no route is gathered in one window.
     return rows.join(F.broadcast(rows.groupBy("route").agg(F.count("*").alias("n"))), "route").select("o_orderkey", "route", "n")  # three rows
+
+
+@query("SELECT i, axis, v::DOUBLE AS value, u AS unit FROM (VALUES (1, 'thickness', 3, 'mm'), (1, 'width', 2.5, 'cm'), (2, 'length', 10, 'm')) t(i, axis, v, u)")
+def specimen_dimensions(t):
+    """Extents of specimens from phrases; units that are no lengths are no extents."""
+    from tessera.functions import numeric
+
+    rows = t.spark.createDataFrame([(1, "Sheets 3 mm thick and 2.5 cm wide"), (2, "a rod, 10 m long, burned 5 s long"), (3, None)], "i int, s string")
+    return rows.select("i", F.explode(numeric.dimensions(F.col("s"))).alias("d")).select("i", "d.axis", "d.value", "d.unit")
+
+
+@query("SELECT h AS header, CASE WHEN h LIKE '%:%' THEN 'Group A' END AS \"group\", CASE WHEN h LIKE '%:%' THEN 'PMMA' ELSE h END AS name FROM (VALUES ('Group A: PMMA'), ('Oxygen')) v(h)")
+def header_bindings(t):
+    """Group and name of typed headers."""
+    from tessera.functions import numeric
+
+    rows = t.spark.createDataFrame([("Group A: PMMA",), ("Oxygen",)], "header string")
+    return rows.select("header", numeric.header_binding(F.col("header")).alias("b")).select("header", "b.group", "b.name")
+
+
+@query("""SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'MISSING_SOURCE' WHEN o_orderkey % 9 = 0 THEN 'MISSING_PASSAGE' WHEN o_orderkey % 10 = 3 THEN 'CHECKSUM_MISMATCH' WHEN o_totalprice < 5000 THEN 'REVISE' ELSE 'VERIFIED' END AS status
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 20 <> 0""")
+def source_reconstruction(t):
+    """Whether a record can be rebuilt from its source, or the first reason why not."""
+    k = F.col("o_orderkey")
+    source = t.customer.where("c_custkey % 20 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("has_source"))
+    passage = t.orders.where("o_orderkey % 9 <> 0").select("o_orderkey", F.sha2(F.col("o_totalprice").cast("string"), 256).alias("found"))
+    kept = F.sha2((F.col("o_totalprice") + F.when(k % 10 == 3, 1).otherwise(0)).cast("string"), 256)
+    j = t.orders.join(source, "o_custkey", "left").join(passage, "o_orderkey", "left")
+    return j.select("o_orderkey", V.coalesce_ordered([(F.col("has_source").isNull(), "MISSING_SOURCE"), (F.col("found").isNull(), "MISSING_PASSAGE"), (F.col("found") != kept, "CHECKSUM_MISMATCH"), (F.col("o_totalprice") < 5000, "REVISE")], "VERIFIED").alias("status"))
+
+
+@query("""WITH s AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[0-9]'))) AS cues, len(string_split(text, chr(10))) AS n FROM documents)
+SELECT CASE WHEN cues = 0 THEN 'NO_CUES' WHEN cues * 2 >= n THEN 'DENSE' ELSE 'SPARSE' END AS state, count(*) AS n_documents, sum(cues)::BIGINT AS n_cues FROM s GROUP BY 1""")
+def extraction_coverage(t):
+    """Documents by how many of their lines hold a quantity cue."""
+    lines = F.split("text", "\n")
+    s = t.documents.select(F.size(F.filter(lines, lambda x: x.rlike("[0-9]"))).alias("cues"), F.size(lines).alias("n"))
+    state = F.when(F.col("cues") == 0, "NO_CUES").when(F.col("cues") * 2 >= F.col("n"), "DENSE").otherwise("SPARSE")
+    return s.groupBy(state.alias("state")).agg(F.count("*").alias("n_documents"), F.sum("cues").alias("n_cues"))

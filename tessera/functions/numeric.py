@@ -105,3 +105,27 @@ def parse_expression(text: str) -> Expression:
     if m := re.match(rf"{numbers}\s*{unit}", rest):
         return Expression(operator, value=float(m[1]), unit=m[2])
     raise ValueError("no number")
+
+
+#: Adjectives of extent and the axis that they name (fixed values).
+AXES = {"thick": "thickness", "wide": "width", "long": "length", "tall": "height", "deep": "depth", "high": "height"}
+
+
+def dimensions(text: Column) -> Column:
+    """array<struct<axis,value,unit>> of phrases such as `3 mm thick`, only with units of length."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{NUMBER}\\s*(?:mm|cm|um|µm|m)\\s+(?:{'|'.join(AXES)})"), F.lit(0))
+    axis = F.create_map(*[F.lit(x) for kv in AXES.items() for x in kv])
+    return F.transform(
+        found,
+        lambda s: F.struct(
+            F.try_element_at(axis, F.regexp_extract(s, "([a-z]+)$", 1)).alias("axis"),
+            F.regexp_extract(s, f"^({NUMBER})", 1).try_cast("double").alias("value"),
+            F.regexp_extract(s, f"^{NUMBER}\\s*([a-zµ]+)", 1).alias("unit"),
+        ),
+    )
+
+
+def header_binding(header: Column) -> Column:
+    """struct(group, name) of a column header such as `group: material`; group is null without a colon."""
+    two = header.contains(":")
+    return F.struct(F.when(two, F.trim(F.split_part(header, F.lit(":"), F.lit(1)))).alias("group"), F.trim(F.when(two, F.split_part(header, F.lit(":"), F.lit(2))).otherwise(header)).alias("name"))
