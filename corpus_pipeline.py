@@ -68,8 +68,16 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written as Parquet in the shared folder and read again."""
     base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
     folder = f"{base}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:  # its successor is written
+            _delete(spark, f"{folder}/{before}")
+        before = name
     return docs
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
