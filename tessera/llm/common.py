@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -26,9 +27,17 @@ def checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that later steps survive lost executors and read it once."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise in the shared checkpoint folder, so that later steps survive lost executors and read it once.
+
+    Spark removes shuffles and broadcasts that nothing refers to any more only when the driver collects its garbage,
+    so it is asked to: a chain of steps then holds no more disk and driver memory than its largest step.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def shuffle_width(spark: SparkSession) -> int:
