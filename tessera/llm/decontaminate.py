@@ -20,49 +20,48 @@ BROADCAST_ROWS = 400_000
 
 
 def words(text: str) -> Column:
-    """Words of a text; only A-Z change case. Plain ASCII takes the fast path."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    folded = F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
-    return F.array_remove(F.split(folded, BETWEEN), "")
+    """Words of a text; only A-Z change case."""
+    return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
-def _tail(a: Column, n: int) -> tuple[Column, Column]:
-    """An array without its last n and without its first n entries."""
-    left = F.greatest(F.size(a) - n, F.lit(0))
-    return F.slice(a, F.lit(1), left), F.slice(a, F.lit(n + 1), left)
+def _let(value: Column, body) -> Column:
+    """Binds a value once, so that an expression that uses it several times does not repeat it when plans are merged."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _grams(df: DataFrame, words_col: str, out: str, k: int) -> DataFrame:
-    """Adds the hashes of all k-grams of words, by doubling: a gram is hashed from two shorter ones."""
-    df = df.withColumn(out, F.transform(words_col, lambda w: F.xxhash64(w)))
-    done = 1
-    while done < k:
-        step = min(done, k - done)  # overlapping halves cover any k
-        a, b = _tail(F.col(out), step)
-        df = df.withColumn(out, F.zip_with(a, b, lambda x, y: F.xxhash64(x, y)))
-        done += step
-    return df
+def _shifted(step: int, combine):
+    """array -> combine(x[i], x[i + step]) for all i that have both."""
+
+    def body(a: Column) -> Column:
+        left = F.greatest(F.size(a) - step, F.lit(0))
+        return F.zip_with(F.slice(a, F.lit(1), left), F.slice(a, F.lit(step + 1), left), combine)
 
+    return body
 
-def _least(df: DataFrame, col: str, width: int) -> DataFrame:
-    """Replaces an array by its minima over sliding windows, by doubling."""
+
+def _doubled(a: Column, width: int, combine) -> Column:
+    """Combines each `width` neighbours, by doubling: a step combines two overlapping halves."""
     done = 1
     while done < width:
         step = min(done, width - done)
-        a, b = _tail(F.col(col), step)
-        df = df.withColumn(col, F.zip_with(a, b, lambda x, y: F.least(x, y)))
+        a = _let(a, _shifted(step, combine))
         done += step
-    return df
+    return a
+
+
+def _grams(words_col: str, k: int) -> Column:
+    """The hashes of all k-grams of words; a gram is hashed from two shorter ones."""
+    return _doubled(F.transform(words_col, lambda w: F.xxhash64(w)), k, lambda x, y: F.xxhash64(x, y))
 
 
 def _fingerprints(df: DataFrame, words_col: str, k: int, span: int, short: list[int]) -> DataFrame:
     """Adds `_fp`: winnowed hashes for windows of `span` words, and all hashes for each shorter window in use."""
-    df = _least(_grams(df, words_col, "_fp", k), "_fp", span - k + 1)
-    df = df.withColumn("_fp", F.array_distinct("_fp"))
-    for m in short:
-        df = _grams(df, words_col, "_short", m)
-        df = df.withColumn("_fp", F.concat("_fp", F.array_distinct(F.transform("_short", lambda h: F.xxhash64(F.lit(m), h))))).drop("_short")
-    return df
+
+    def tagged(m: int) -> Column:
+        return F.array_distinct(F.transform(_grams(words_col, m), lambda h: F.xxhash64(F.lit(m), h)))
+
+    winnowed = F.array_distinct(_doubled(_grams(words_col, k), span - k + 1, lambda x, y: F.least(x, y)))
+    return df.withColumn("_fp", F.concat(winnowed, *[tagged(m) for m in short]) if short else winnowed)
 
 
 def _windows(words_col: str, lengths: list[int]) -> Column:
