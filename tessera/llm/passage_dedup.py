@@ -241,8 +241,8 @@ def _classes(text, low, high, symbols, bytewise, owner, start, all_low, left, do
     common = np.zeros(len(order), np.int64)
     at, rest = symbols[order], high[k[order]] - symbols[order]
     step = np.arange(span)
-    for i in range(1, len(order), 20_000):
-        j = min(len(order), i + 20_000)
+    for i in range(1, len(order), 4_000):
+        j = min(len(order), i + 4_000)
         rows = text[np.minimum(at[i - 1 : j, None] + step, len(text) - 1)]
         differs = rows[1:] != rows[:-1]
         same = np.where(differs.any(1), differs.argmax(1), span)
@@ -283,7 +283,7 @@ def _chunks(anchor: np.ndarray, size: np.ndarray, most: int) -> list[tuple[int,
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100, core: int = 50, batch_rows: int = 2000, chunk_bytes: int = 1_000_000, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100, core: int = 50, batch_rows: int = 2000, chunk_bytes: int = 200_000, keep_text: bool = False) -> DataFrame:
     """One row per row of docs: n_bytes, n_removed, n_spans, kept_sha256; with keep_text also text_key, the digest of the
     text, and kept, the remaining text without characters that lost some of their bytes.
 
