@@ -16,15 +16,19 @@ RRF_K = 60
 
 
 def statistics(docs: DataFrame, id_col: str, text_col: str, terms: list[str] | None = None) -> DataFrame:
-    """(id, length, tf map of the wanted terms) for each document, in one pass and without exploding texts."""
-    tokens = docs.select(F.col(id_col), index_tokens(text_col).alias("_t"))
+    """(id, length, hits, tf_0 ..) of each document for the wanted terms, in one pass and without exploding texts.
+
+    The tokens are bound once inside one expression: a filter on hits that is pushed down reads a text once more, not
+    once for each term.
+    """
     wanted = sorted(set(terms or []))
-    counts = [_count_of("_t", w).alias(f"tf_{i}") for i, w in enumerate(wanted)]
-    return tokens.select(F.col(id_col), F.size("_t").alias("length"), *counts)
 
+    def counted(tokens: Column) -> Column:
+        counts = [F.size(tokens) - F.size(F.array_remove(tokens, F.lit(w))) for w in wanted]
+        return F.struct(F.size(tokens).alias("length"), sum(counts, F.lit(0)).alias("hits"), *[c.alias(f"tf_{i}") for i, c in enumerate(counts)])
 
-def _count_of(array: str, term: str) -> Column:
-    return F.size(array) - F.size(F.array_remove(array, F.lit(term)))
+    found = docs.select(F.col(id_col), F.get(F.transform(F.array(index_tokens(text_col)), counted), F.lit(0)).alias("_s"))
+    return found.select(F.col(id_col), "_s.length", "_s.hits", *[f"_s.tf_{i}" for i in range(len(wanted))])
 
 
 def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, k: int = 10, eligible: DataFrame | None = None, eligible_ids: list | None = None) -> DataFrame:
@@ -50,8 +54,7 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, k: int = 10, e
         tf = F.col(f"tf_{i}")
         parts.append(F.lit(float(terms.count(w)) * idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(float(mean)))))
     score = F.round(sum(parts[1:], parts[0]), 9)
-    hit = sum((F.col(f"tf_{i}") for i in range(1, len(wanted))), F.col("tf_0")) > 0
-    found = stats.where(hit)
+    found = stats.where(F.col("hits") > 0)
     if eligible_ids is not None:
         found = found.where(F.col(id_col).isin(eligible_ids))
     if eligible is not None:
