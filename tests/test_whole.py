@@ -14,3 +14,9 @@ def test_scope_resolution_reads_every_document(spark, tmp_path):
     got = run(spark, tmp_path, "scope_resolution_all", documents=(docs, "doc_id long, lang string"))
     # Id 0 is an exception; 420 states for a run and beats 600, which states for a document; 421 belongs to entity 1.
     assert {(r["entity"], r["context_type"], r["status"], r["value"]) for r in got.collect()} == {(0, "gravity", "EXPLICIT_LOCAL", "de"), (1, "place", "VERIFIED_APPLICABLE_CONTEXT", "it")}
+
+
+def test_numeric_equivalence_compares_every_order(spark, tmp_path):
+    lines = [(7, 1, 0.1), (7, 2, 0.1), (200, 1, 0.05), (200, 2, 0.06), (200, 3, 0.05), (9000, 1, 0.0), (9000, 2, 0.0), (9001, 1, 0.0)]
+    got = run(spark, tmp_path, "numeric_equivalence_all", lineitem=(lines, "l_orderkey long, l_linenumber int, l_discount double"))
+    assert sorted(map(tuple, got.collect())) == [(7, 1, 2), (200, 1, 3), (9000, 1, 2)]
