@@ -20,3 +20,10 @@ def test_numeric_equivalence_compares_every_order(spark, tmp_path):
     lines = [(7, 1, 0.1), (7, 2, 0.1), (200, 1, 0.05), (200, 2, 0.06), (200, 3, 0.05), (9000, 1, 0.0), (9000, 2, 0.0), (9001, 1, 0.0)]
     got = run(spark, tmp_path, "numeric_equivalence_all", lineitem=(lines, "l_orderkey long, l_linenumber int, l_discount double"))
     assert sorted(map(tuple, got.collect())) == [(7, 1, 2), (200, 1, 3), (9000, 1, 2)]
+
+
+def test_endpoint_matrix_validates_every_order(spark, tmp_path):
+    orders = ([(1, 1), (2, 2), (20, 2), (21, 1)], "o_orderkey long, o_custkey long")
+    customers = ([(1, "BUILDING"), (2, "MACHINERY")], "c_custkey long, c_mktsegment string")
+    got = run(spark, tmp_path, "endpoint_matrix_all", orders=orders, customer=customers)
+    assert sorted(map(tuple, got.collect())) == [("o2", "placedBy", "c2"), ("o20", "placedBy", "c2")]
