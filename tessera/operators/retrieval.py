@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,9 +124,35 @@ def sync_state(old: DataFrame, new: DataFrame, id_col: str, digest_col: str) ->
     return a.join(b, id_col, "full").select(id_col, state.alias("state"))
 
 
+def greedy_candidates(rows: DataFrame, budget: int) -> DataFrame:
+    """Of rows (_group, _item in order, _size) those that may be taken by `greedy_budget`; sizes are at least 0.
+
+    Whatever is taken leaves no earlier item of at most its size behind, as that would have fit too. So an item that
+    does not fit after the earlier ones of at most its size in its own partition is never taken. Of each size a
+    partition keeps at most budget / size items of a group, besides empty ones, however large the group is.
+    """
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used = object(), np.zeros(0, np.int64)  # used[s]: size of the group's items of at most s so far
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for i, (g, n) in enumerate(zip(b["_group"].to_pylist(), b["_size"].to_pylist(), strict=True)):
+                if g != group:
+                    # The first item stays in any case, so that a group of which nothing fits has its row.
+                    group, used, keep[i] = g, np.zeros(max(0, budget) + 1, np.int64), True
+                if n is not None and n <= budget and used[n] + n <= budget:
+                    keep[i] = True
+                    used[n:] += n
+            yield b.filter(pa.array(keep))
+
+    return rows.sortWithinPartitions("_group", "_item").mapInArrow(possible, rows.schema)
+
+
 def greedy_budget(items: DataFrame, group_col: str, order_cols: list[str], size_col: str, id_col: str, budget: int) -> DataFrame:
     """Per group, ids taken in order while they fit: one that is too large is skipped, and later ones may still fit."""
-    listed = items.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct(*order_cols, F.col(size_col).cast("long").alias("_size"), F.col(id_col).alias("_id")))).alias("_items"))
+    size = F.col(size_col).cast("long")
+    rows = items.select(F.col(group_col).alias("_group"), F.struct(*order_cols, size.alias("_size"), F.col(id_col).alias("_id")).alias("_item"), size.alias("_size"))
+    listed = greedy_candidates(rows, budget).groupBy(F.col("_group").alias(group_col)).agg(F.array_sort(F.collect_list("_item")).alias("_items"))
     kind = dict(items.dtypes)[id_col]
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("ids"))
     fold = F.aggregate(

@@ -1,6 +1,11 @@
 """Queries over whole tables, on rows that a cut would leave out, against results by hand or brute force."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from tessera.catalog import QUERIES
+from tessera.operators import retrieval as S
 
 
 def run(spark, folder, name, **tables):
@@ -27,3 +32,34 @@ def test_endpoint_matrix_validates_every_order(spark, tmp_path):
     customers = ([(1, "BUILDING"), (2, "MACHINERY")], "c_custkey long, c_mktsegment string")
     got = run(spark, tmp_path, "endpoint_matrix_all", orders=orders, customer=customers)
     assert sorted(map(tuple, got.collect())) == [("o2", "placedBy", "c2"), ("o20", "placedBy", "c2")]
+
+
+def greedy(rows, budget):
+    out = {}
+    for source, i, n in sorted(rows, key=lambda r: r[1]):
+        used, ids = out.setdefault(source, (0, []))
+        if n is not None and used + n <= budget:
+            out[source] = (used + n, [*ids, i])
+    return out
+
+
+def test_context_anchor_budget_takes_odd_ids(spark, tmp_path):
+    docs = [("a", 1, 3000), ("a", 2, 2500), ("a", 3, 2000), ("a", 4, 10), ("b", 5, 6000), ("c", 7, 0), ("c", 9, 5000), ("c", 11, 1)]
+    got = run(spark, tmp_path, "context_anchor_budget", documents=(docs, "source string, doc_id long, n_chars int"))
+    assert {r["source"]: (r["used"], r["ids"]) for r in got.collect()} == greedy(docs, 5000) | {"b": (0, [])}
+
+
+def test_greedy_budget_equals_brute_force_in_any_partitions(spark):
+    for seed in range(4):
+        r = random.Random(seed)
+        rows = [(r.choice(["hot", "hot", "hot", "cold", None]), i, r.choice([None, 0, 1, 2, 3, r.randrange(120), r.randrange(120)])) for i in range(800)]
+        r.shuffle(rows)
+        got = S.greedy_budget(spark.createDataFrame(rows, "s string, i long, n int").repartition(1 + 2 * seed), "s", ["i"], "n", "i", 100)
+        assert {x["s"]: (x["used"], x["ids"]) for x in got.collect()} == greedy(rows, 100)
+
+
+def test_greedy_budget_gathers_few_items_of_a_hot_group(spark):
+    rows = spark.range(0, 20000, 1, 1).select(F.lit("hot").alias("_group"), F.col("id").alias("_item"), (1 + F.col("id") * 7919 % 500).alias("_size"))
+    kept = [(r["_group"], r["_item"], r["_size"]) for r in S.greedy_candidates(rows, 1000).collect()]
+    assert len(kept) <= sum(1000 // n for n in range(1, 501)) < 20000 / 2
+    assert greedy(kept, 1000) == greedy([tuple(r) for r in rows.collect()], 1000)
