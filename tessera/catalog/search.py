@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.catalog.registry import query
+from tessera.catalog.registry import ORACLES, query
 from tessera.functions import text as X
 from tessera.operators import classify as C
 from tessera.operators import records as R
@@ -55,9 +55,19 @@ def documentary_two_stage(t):
 
 @query(_bm25_sql(_ASK, 5) + ", b AS (SELECT doc_id, rank FROM best UNION ALL SELECT doc_id, NULL FROM documents WHERE lang = 'fr' AND doc_id < 3 AND doc_id NOT IN (SELECT doc_id FROM best)) SELECT doc_id, rank FROM b")
 def passage_backfill(t):
-    """Eligible passages that nothing ranked come after the ranked ones, without a rank."""
+    """Eligible passages that nothing ranked come after the ranked ones, without a rank; its SQL reads ids below 3."""
+    return _backfilled(t, t.documents.where("lang = 'fr' AND doc_id < 3"))
+
+
+@query(ORACLES["passage_backfill"].replace(" AND doc_id < 3", ""))
+def passage_backfill_all(t):
+    """The same with every eligible passage."""
+    return _backfilled(t, t.documents.where("lang = 'fr'"))
+
+
+def _backfilled(t, eligible):
     best = S.bm25(t.documents, _ASK, "doc_id", "text", k=5).select("doc_id", "rank")
-    rest = t.documents.where("lang = 'fr' AND doc_id < 3").select("doc_id").join(best, "doc_id", "left_anti")
+    rest = eligible.select("doc_id").join(best, "doc_id", "left_anti")
     return best.unionByName(rest.withColumn("rank", F.lit(None).cast("int")))
 
 

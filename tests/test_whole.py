@@ -63,3 +63,11 @@ def test_greedy_budget_gathers_few_items_of_a_hot_group(spark):
     kept = [(r["_group"], r["_item"], r["_size"]) for r in S.greedy_candidates(rows, 1000).collect()]
     assert len(kept) <= sum(1000 // n for n in range(1, 501)) < 20000 / 2
     assert greedy(kept, 1000) == greedy([tuple(r) for r in rows.collect()], 1000)
+
+
+def test_passage_backfill_has_every_eligible_passage(spark, tmp_path):
+    docs = [(i, "fr", "rien") for i in (1, 3, 50, 900)] + [(i, "fr", "reer " * (i - 90)) for i in range(91, 98)] + [(4, "de", "nichts")]
+    got = run(spark, tmp_path, "passage_backfill_all", documents=(docs, "doc_id long, lang string, text string")).collect()
+    ranked = [r["doc_id"] for r in got if r["rank"] is not None]
+    assert len(ranked) == 5 and set(ranked) < set(range(91, 98))
+    assert sorted(r["doc_id"] for r in got if r["rank"] is None) == sorted({1, 3, 50, 900, *range(91, 98)} - set(ranked))
