@@ -23,17 +23,22 @@ def locate(quotes: DataFrame, texts: DataFrame, quote_key: str, quote_col: str,
     """(quote, n_texts, text id, start) of quotes found in texts; start counts from 0; the id and start are null unless
     the text is unique and the quote occurs in it once.
 
-    Candidates come from an equality join on each quote's first `words` words, so no quote meets every text; quotes
-    with fewer words are keyed by all of theirs. The exact test follows.
+    Candidates come from an equality join on the first `words` inner words of each quote, or on all of them if there
+    are fewer: its first and last word may be parts of words of the text, but what is between them are whole words. Only
+    quotes of one or two words have none; they meet every text in a scan. The exact test follows.
     """
     grams = lambda c: F.array_remove(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "\\s+"), "")
-    q = quotes.select(F.col(quote_key), F.col(quote_col).alias("_q"), grams(quote_col).alias("_w")).where(F.size("_w") > 0)
-    # The inner words of a quote: its first word may begin inside a word of the text.
-    q = q.withColumn("_key", F.array_join(F.slice("_w", 2, words), " ")).withColumn("_n", F.least(F.size("_w") - 1, F.lit(words)))
+    q = quotes.select(F.col(quote_key), F.col(quote_col).alias("_q"), grams(quote_col).alias("_w")).where(F.col(quote_col).isNotNull())
+    q = q.withColumn("_n", F.least(F.greatest(F.size("_w") - 2, F.lit(0)), F.lit(words))).withColumn("_key", F.array_join(F.slice("_w", F.lit(2), F.col("_n")), " "))
+    # At most words + 1 numbers; a text is opened into the n-grams of those lengths only.
+    lengths = {r[0] for r in q.select("_n").distinct().collect()}
     t = texts.select(F.col(text_key), F.col(text_col).alias("_t"), grams(text_col).alias("_v"))
-    t = t.withColumn("_key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_v") - words + 1, F.lit(1))), lambda i: F.array_join(F.slice("_v", i, F.lit(words)), " ")))))
-    long = q.where(F.col("_n") == words)
-    hit = long.join(t.drop("_v"), "_key").where(F.col("_t").contains(F.col("_q")))
+    keys = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_v") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_v", i, F.lit(n)), " "))
+    opened = F.array_distinct(F.concat(*[keys(n) for n in sorted(lengths - {0})] or [F.array().cast("array<string>")]))
+    inside = F.col("_t").contains(F.col("_q"))
+    hit = q.where("_n > 0").join(t.withColumn("_key", F.explode(opened)).drop("_v"), "_key").where(inside).select(quote_key, text_key, "_q", "_t")
+    if 0 in lengths:
+        hit = hit.unionByName(q.where("_n = 0").join(t, inside).select(quote_key, text_key, "_q", "_t"))
     one = (F.length("_t") - F.length(F.replace("_t", "_q", F.lit("")))) == F.length("_q")
     per = hit.groupBy(quote_key).agg(F.countDistinct(text_key).alias("n_texts"), F.min(text_key).alias("_id"), F.min(F.when(one, F.expr("instr(_t, _q)") - 1)).alias("_at"))
     out = quotes.select(quote_key).join(per, quote_key, "left").withColumn("n_texts", F.coalesce("n_texts", F.lit(0).cast("long")))

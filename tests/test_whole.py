@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import QUERIES
 from tessera.operators import retrieval as S
+from tessera.operators import spans as P
 
 
 def run(spark, folder, name, **tables):
@@ -71,3 +72,25 @@ def test_passage_backfill_has_every_eligible_passage(spark, tmp_path):
     ranked = [r["doc_id"] for r in got if r["rank"] is not None]
     assert len(ranked) == 5 and set(ranked) < set(range(91, 98))
     assert sorted(r["doc_id"] for r in got if r["rank"] is None) == sorted({1, 3, 50, 900, *range(91, 98)} - set(ranked))
+
+
+def test_locate_finds_quotes_of_any_length(spark):
+    texts = ["one two three four five six seven eight nine", "xone two three four five sixth", "a  b\nc d", "", None, "nine one", "One two three four five six"]
+    words = texts[0].split()
+    quotes = [" ".join(words[i : i + n]) for n in range(1, 10) for i in range(10 - n)]
+    quotes += ["ne two three four five si", "wo three fou", "b\nc", "b c", "  ", "", None, "ven ei", "nine one", "none of these", "e", "ne two three four five sixt"]
+    q = spark.createDataFrame(list(enumerate(quotes)), "k int, q string")
+    got = P.locate(q, spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "k", "q", "i", "t")
+    wanted = {}
+    for k, x in enumerate(quotes):
+        found = [i for i, t in enumerate(texts) if x is not None and t is not None and x in t]
+        once = len(found) == 1 and texts[found[0]].count(x) == 1
+        wanted[k] = (len(found), found[0] if once else None, texts[found[0]].index(x) if once else None)
+    assert {r["k"]: (r["n_texts"], r["i"], r["start"]) for r in got.collect()} == wanted
+
+
+def test_quotes_by_document_count_has_short_items(spark, tmp_path):
+    docs = ([(1, "the cat sat on the mat"), (2, "the cats sat on the mattress"), (3, "a cat")], "doc_id long, text string")
+    items = ([(1, "cat"), (2, "cat sat"), (3, "cat sat on"), (4, "sat on the mat"), (5, "he cat sat on the m"), (6, "cats sat on the mat")], "item_id long, text string")
+    got = run(spark, tmp_path, "quotes_by_document_count", documents=docs, benchmark=items)
+    assert {r["n_texts"]: r["n"] for r in got.collect()} == {3: 1, 2: 1, 1: 4}
