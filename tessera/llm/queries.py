@@ -62,7 +62,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"))
+    return lm_score.score(table(spark, sf_dir, "documents"), order=3)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,13 @@ def test_quotes_by_document_count_has_short_items(spark, tmp_path):
     items = ([(1, "cat"), (2, "cat sat"), (3, "cat sat on"), (4, "sat on the mat"), (5, "he cat sat on the m"), (6, "cats sat on the mat")], "item_id long, text string")
     got = run(spark, tmp_path, "quotes_by_document_count", documents=docs, benchmark=items)
     assert {r["n_texts"]: r["n"] for r in got.collect()} == {3: 1, 2: 1, 1: 4}
+
+
+def test_op5_scores_by_two_words_of_context(spark, tmp_path):
+    from tessera.llm import queries
+
+    texts = [(1, "a b c"), (2, "p b c")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_backoff"] for r in queries.op5_lm_scoring(spark, str(tmp_path)).collect()}
+    # 'b' backs off, as 'a b' is in no other text, and 'c' as 'a b c' is in none, though 'b c' is.
+    assert got == {1: 2, 2: 2}
