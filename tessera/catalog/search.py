@@ -105,7 +105,17 @@ def normalise_vectors(t):
 @query("SELECT label, i - 1 AS position, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, unnest(range(1, 4)) AS u(i) GROUP BY ALL")
 def mean_segment_embeddings(t):
     """Mean vectors per label, shown for the first three positions."""
-    p = t.embeddings.select("label", F.posexplode(F.slice("embedding", 1, 3)).alias("position", "x"))
+    return _means(t.embeddings.select("label", F.slice("embedding", 1, 3).alias("v")))
+
+
+@query(ORACLES["mean_segment_embeddings"].replace("range(1, 4)", "range(1, len(embedding) + 1)"))
+def mean_segment_embeddings_all(t):
+    """Mean vectors per label, at all positions."""
+    return _means(t.embeddings.select("label", F.col("embedding").alias("v")))
+
+
+def _means(vectors):
+    p = vectors.select("label", F.posexplode("v").alias("position", "x"))
     return p.groupBy("label", "position").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 

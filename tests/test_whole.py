@@ -104,3 +104,17 @@ def test_op5_scores_by_two_words_of_context(spark, tmp_path):
     got = {r["doc_id"]: r["n_backoff"] for r in queries.op5_lm_scoring(spark, str(tmp_path)).collect()}
     # 'b' backs off, as 'a b' is in no other text, and 'c' as 'a b c' is in none, though 'b c' is.
     assert got == {1: 2, 2: 2}
+
+
+def test_mean_segment_embeddings_has_every_position(spark, tmp_path):
+    vectors = [(0, [1.0, 2.0, 3.0, 4.0, 5.0]), (0, [3.0, 2.0, 1.0, 0.0, 6.0]), (1, [0.0, 0.0, 0.0, 0.0, 7.0])]
+    got = run(spark, tmp_path, "mean_segment_embeddings_all", embeddings=(vectors, "label int, embedding array<float>"))
+    means = {(0, i): m for i, m in enumerate([2.0, 2.0, 2.0, 2.0, 5.5])} | {(1, i): m for i, m in enumerate([0.0, 0.0, 0.0, 0.0, 7.0])}
+    assert {(r["label"], r["position"]): r["mean"] for r in got.collect()} == means
+
+
+def test_html_text_extract_gives_the_whole_text(spark, tmp_path):
+    words = "word " * 30
+    pages = [(1, "http://a", f"<head>x</head><p>{words}</p><script>y</script><b>end</b>")]
+    got = run(spark, tmp_path, "html_text_extract_all", pages=(pages, "page_id long, url string, html string")).collect()
+    assert [(r["text"], r["n"]) for r in got] == [(words + "end", 153)]
