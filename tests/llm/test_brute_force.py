@@ -250,6 +250,9 @@ def test_plan_is_close_to_the_bound():
         ("<nav>" + "<a href=x>link text</a>" * 30 + "</nav><p>Too short</p>", []),
         ("<article><p>Tiny.</article>", ["Tiny."]),
         ("<article>x&lt;y &eacute;&nbsp;z<br>w<script>var a='</p>'</script><!-- <p>no --></article>", ["x<y é z w"]),
+        ("<article><section class='legal-theory'><p>" + "law " * 20 + "</section><div class=search-algorithms>tree</div><div class='ad-slot left'>buy</div><div id=relatedPosts>more</div><p role=note>end</article>", [("law " * 20).strip(), "tree", "end"]),
+        ("<div class=sidebar-theory><p>" + "prose " * 40 + "</div><div class='sidebar-left'><p>" + "side " * 40 + "</div>", [("prose " * 40).strip()]),
+        ("<article><a title='x > y' class=\"open>x</a><p>1 < 2 &#0000065; &#99999999999;</p></article>", ["x", "1 < 2 A �"]),
         ("<body><div class=cookie-notice>" + "We use cookies " * 20 + "</div><article><p><b>" + "open " * 30 + "<br><p>end</article></body>", [("open " * 30).strip(), "end"]),
     ],
 )
@@ -263,6 +266,16 @@ def test_any_markup_is_read(page):
     assert "\n\n" not in html_text.main_text(page)
 
 
+@pytest.mark.parametrize("part", ["<a", "<a ", '<a b="', "<![CDATA[", "<!--", "<div>", "<div>text ", "<b>", "<p>", "<td>a<tr>", "</p>", "&", "&#9", "<", "<script", "</script ", "<p class=ad-x ", "<title>x"])
+def test_time_grows_with_length(part):
+    """No markup, however broken, takes more than its share of time (a second or two a megabyte; ten are allowed)."""
+    import time
+
+    begin = time.monotonic()
+    html_text.main_text(part * (1_000_000 // len(part)) + ">" + "<li>x</li>" * 10)
+    assert time.monotonic() - begin < 10
+
+
 def test_main_text_of_pages(spark):
     import html
 
