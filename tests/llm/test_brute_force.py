@@ -146,7 +146,7 @@ def test_lm_score(spark, order):
             g = tuple(w[j - n + 1 : j + 1])
             s += math.log(max(c(g), 0.5) / total) if n == 1 else math.log(c(g) / max(c(g[:-1]), 1))
         wanted[i] = s / len(w) if w else None
-    got = {r["doc_id"]: r["score"] for r in lm_score.score(df, order=order, batch_rows=25).collect()}
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(df, order=order, batch_bytes=40_000).collect()}
     assert got.keys() == wanted.keys()
     for i, x in wanted.items():
         assert got[i] is None if x is None else abs(got[i] - x) < 1e-9
