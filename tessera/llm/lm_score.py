@@ -5,8 +5,10 @@ neither ids nor lengths decide where a document goes, so repeated rows and null
 A batch explodes into its distinct n-grams with their counts, which go to buckets of the hash space: the n-gram count
 tables, partitioned by hash. A bucket adds the counts of all batches and answers each with the totals of the n-grams it
 sent; the answers are joined to the n-grams of the batch's documents and summed per document. An n-gram travels once
-per batch, not once per occurrence, so frequent n-grams weigh no more than rare ones. Keys travel as sorted 64 bit
-hashes, delta-coded and compressed, many to a row: one row for each n-gram would take several times the disk.
+per batch, not once per occurrence, so frequent n-grams weigh no more than rare ones. Keys travel as sorted
+hashes, delta-coded and compressed, many to a row: one row for each n-gram would take several times the disk. Hashes are
+`SPARE_BITS` longer than the number of n-grams needs, so at any size of the corpus fewer than one n-gram in a million
+shares its key with another.
 
 A document is scored leave-one-out: counts exclude its own occurrences. With c the remaining counts and N the number
 of words of the corpus, a word w after v scores c(v w) / c(v) if c(v w) > 0, else alpha times its score after the
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, mix64, shuffle_width, word_hashes
 
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a key beyond those that number all n-grams of the corpus, and the least bits of a key.
+SPARE_BITS, LEAST_BITS = 20, 48
+#: Bits of a word's hash.
+WORD_BITS = 56
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -53,11 +59,34 @@ def _expand(raw: bytes) -> np.ndarray:
     return np.cumsum(_unpack(raw), dtype=np.uint64)
 
 
+def key_bits(grams: int) -> int:
+    """The length of keys for so many n-grams."""
+    return min(64, max(LEAST_BITS, SPARE_BITS + grams.bit_length()))
+
+
+def number(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vocabulary, words): words numbered by falling frequency, so that they pack well, and then by hash."""
+    code, distinct = pd.factorize(hashes >> np.uint64(64 - WORD_BITS))
+    order = np.lexsort((distinct, -np.bincount(code, minlength=len(distinct))))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct[order], rank[code]
+
+
+def _shrink_vocabulary(vocabulary: np.ndarray) -> bytes:
+    """Differences modulo 2**WORD_BITS: hashes rise within a frequency, and most words are of few."""
+    return _pack(np.diff(vocabulary, prepend=np.zeros(1, np.uint64)) & np.uint64((1 << WORD_BITS) - 1))
+
+
+def _expand_vocabulary(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw), dtype=np.uint64) & np.uint64((1 << WORD_BITS) - 1)
+
+
 class Grams:
     """The n-grams of a batch for n = 1..order. Words are runs without white space, lower-cased; n-grams do not cross
     texts. `words` number the batch's vocabulary of word hashes, `sizes` are the words of each text."""
 
-    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, sizes: np.ndarray, order: int):
+    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, sizes: np.ndarray, order: int, bits: int):
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         self.start = [np.arange(len(words))]  # of each order: where its n-grams start
         self.code = [words]  # and the number of each among the distinct ones
@@ -74,7 +103,7 @@ class Grams:
             self.start.append(start)
             self.code.append(code)
             self.counts.append(np.bincount(code, minlength=len(distinct)))
-        keys = np.concatenate(keys)
+        keys = np.concatenate(keys) >> np.uint64(64 - bits)
         #: The distinct n-grams of all orders in the order of their keys.
         self.sorted = np.argsort(keys)
         self.keys = keys[self.sorted]
@@ -130,14 +159,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = TaskContext.get().partitionId() << 24
+        at = TaskContext.get().partitionId() << 24
         ids: list[str | None] = []
         hashes: list[np.ndarray] = []
         held = 0
 
         def batch() -> pd.DataFrame:
-            words, vocabulary = pd.factorize(np.concatenate(hashes))
-            return pd.DataFrame({"batch": [number], "ids": [list(ids)], "sizes": [_pack(np.array([len(x) for x in hashes], np.int64))], "vocabulary": [vocabulary.astype("<u8").tobytes()], "words": [_pack(words)]})
+            vocabulary, words = number(np.concatenate(hashes))
+            sizes = np.array([len(x) for x in hashes], np.int64)
+            return pd.DataFrame({"batch": [at], "ids": [list(ids)], "n": [len(words)], "sizes": [_pack(sizes)], "vocabulary": [_shrink_vocabulary(vocabulary)], "words": [_pack(words)]})
 
         for b in batches:
             for key, text in zip(b["id"], b["text"], strict=True):
@@ -147,25 +177,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                 if held >= batch_bytes:
                     yield batch()
                     ids.clear(), hashes.clear()
-                    number, held = number + 1, 0
+                    at, held = at + 1, 0
         if ids:
             yield batch()
 
     def grams(sizes: bytes, vocabulary: bytes, words: bytes) -> Grams:
-        return Grams(np.frombuffer(vocabulary, "<u8"), _unpack(words).astype(np.int64), _unpack(sizes).astype(np.int64), order)
+        return Grams(_expand_vocabulary(vocabulary), _unpack(words).astype(np.int64), _unpack(sizes).astype(np.int64), order, bits)
 
     # Batches follow from how rows come, so they are written down before anything refers to them.
-    dealt = cut(rows.mapInPandas(deal, "batch long, ids array<string>, sizes binary, vocabulary binary, words binary"))
-    buckets = max(shuffle_width(spark), dealt.count() // 4)
-    edges = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
+    dealt = cut(rows.mapInPandas(deal, "batch long, ids array<string>, n long, sizes binary, vocabulary binary, words binary"))
+    size = dealt.agg(F.count("*").alias("batches"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    bits = key_bits(size["words"] * order)
+    buckets = max(shuffle_width(spark), size["batches"] // 4)
+    edges = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**bits).astype(np.uint64)
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for number, sizes, vocabulary, words in zip(b["batch"], b["sizes"], b["vocabulary"], b["words"], strict=True):
+            for batch, sizes, vocabulary, words in zip(b["batch"], b["sizes"], b["vocabulary"], b["words"], strict=True):
                 g = grams(sizes, vocabulary, words)
                 counts = np.concatenate(g.counts)[g.sorted]
                 parts = zip(np.split(g.keys, at := np.searchsorted(g.keys, edges)), np.split(counts, at), strict=True)
-                yield pd.DataFrame([(number, i, _shrink(k), _pack(n)) for i, (k, n) in enumerate(parts) if len(k)], columns=["batch", "bucket", "keys", "counts"])
+                yield pd.DataFrame([(batch, i, _shrink(k), _pack(n)) for i, (k, n) in enumerate(parts) if len(k)], columns=["batch", "bucket", "keys", "counts"])
 
     def add(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         lists = [_expand(x) for x in b.pop("keys")]
@@ -185,9 +217,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         return pd.concat(out) if out else pd.DataFrame([], columns=["id", "n_words", "n_backoff", "n_unigram", "logs"])
 
     sent = dealt.select("batch", "sizes", "vocabulary", "words").mapInPandas(explode, "batch long, bucket int, keys binary, counts binary")
-    answered = sent.groupBy("bucket").applyInPandas(add, "batch long, bucket int, totals binary")
+    # Written down, so that the tables of counts, the largest data here, are given up before the next shuffle.
+    answered = cut(sent.groupBy("bucket").applyInPandas(add, "batch long, bucket int, totals binary"))
     scored = dealt.groupBy("batch").cogroup(answered.groupBy("batch")).applyInPandas(join, "id string, n_words long, n_backoff long, n_unigram long, logs double")
-    scored = cut(scored)
-    words = scored.agg(F.sum("n_words")).first()[0] or 1
-    value = (F.col("logs") - F.col("n_unigram") * float(np.log(words))) / F.col("n_words")
+    value = (F.col("logs") - F.col("n_unigram") * float(np.log(size["words"] or 1))) / F.col("n_words")
     return scored.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_backoff", F.when(F.col("n_words") > 0, value).alias("score"))
