@@ -18,12 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or the one set on the context. A
+    temporary folder serves only where all run on one machine, as in tests; elsewhere a missing setting is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    sc = spark.sparkContext
+    given = sc._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    return os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
+
+
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; set a temporary one only where none is named, as in tests."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:

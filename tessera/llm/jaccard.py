@@ -1,10 +1,12 @@
 """N-gram Jaccard join by chosen paths.
 
-Documents with the same set of word shingles are one class and take part once. Each class has a signature of minimum
-hashes. A run walks a tree: at a node two positions of the signature are chosen by a hash of the path, and a set goes
-to the child of each with its value there, so similar sets stay together with high probability. Nodes with few sets
-are compared by brute force, larger ones are split further, and runs are repeated until the recall meets its target.
-What is still large after the last level is compared in blocks. A pair that meets in several leaves belongs to the
+Documents with the same set of word shingles are one class and take part once. Each position of a class's signature
+samples one shingle of its set (the one of least hash), so two sets sample the same with a probability that is their
+similarity. A run walks a tree: at a node two positions are chosen by a hash of the path, and a set goes to the child
+of each with the shingle it sampled there, so sets that share sampled shingles stay together. Nodes with few sets are
+compared by brute force; larger ones are split for as long as that leaves fewer pairs to compare than they hold, and
+runs are repeated until the recall meets its target. What cannot be split is a crowd of mostly similar sets: it is
+compared in blocks, as each of its links must be counted anyway. A pair that meets in several leaves belongs to the
 least of them; sketches rule out dissimilar pairs, and exact Jaccard of the shingle sets decides on the rest.
 """
 
@@ -51,10 +53,14 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def runs_for(recall: float, similarity: float, levels: int) -> int:
-    """Runs after which a pair of this similarity has shared a leaf with the wanted probability."""
+def runs_for(recall: float, similarity: float) -> int:
+    """Runs after which a pair of this similarity has shared a leaf with the wanted probability, however deep its leaves
+    are: p, the chance to stay together in a node, follows from that in its two children. Similarity is over a half.
+
+    Runs begin at positions of their own but go on over the same signature, so that this holds for independent runs is
+    measured, not proved."""
     p = 1.0
-    for _ in range(levels):
+    for _ in range(1000):
         p = 1 - (1 - similarity * p) ** 2
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
@@ -96,8 +102,9 @@ def candidates(bucket: np.ndarray, leaf: np.ndarray, block: np.ndarray, crossing
             ok = (sketch[x] == sketch[y]).sum(1) >= least
             ok &= ~crossing[x] | (block[x] != block[y])
             x, y = x[ok], y[ok]
-            for part in range(0, len(x), 2_000):
-                u, v = x[part : part + 2_000], y[part : part + 2_000]
+            step = max(1, 8_000_000 // max(1, keys.shape[1] ** 2))
+            for part in range(0, len(x), step):
+                u, v = x[part : part + step], y[part : part + step]
                 shared = (keys[u][:, :, None] == keys[v][:, None, :]).any(2) & (keys[u] != 0)
                 own = np.where(shared, keys[u], np.uint64(np.iinfo(np.uint64).max)).min(1) == leaf[u]
                 found_i.append(u[own])
@@ -163,16 +170,20 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.99999, levels: int = 3, bucket: int = 200, block: int = 1000) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.99999, bucket: int = 200, block: int = 1000, worth: float = 0.9, with_keys: bool = False) -> DataFrame:
     """One row per row of docs: class_id, the least id among documents linked to it directly or not; copy_of, the
     least id among those with its shingle set; n_links, the number of other documents with similarity or more to it.
+    With with_keys also text_key, the digest of the text, and class_key, which tells classes apart if ids do not.
 
     Links are found with at least the wanted recall and none is false. Null and empty texts have no shingles: they are
     copies of each other and of nothing else. Null ids are kept, and are never a class id unless all of the class are
-    null. Repeated rows count as copies. An empty table gives no rows. Only id and text are read.
+    null. Repeated rows count as copies. Texts of any length take part whole. An empty table gives no rows. Only id
+    and text are read, whatever other columns are called.
+
+    A node of over `bucket` classes is split unless its children would hold over `worth` times its pairs.
     """
     spark = docs.sparkSession
-    runs = runs_for(recall, similarity, levels)
+    runs = runs_for(recall, similarity)
     # A sketch of a pair at the threshold agrees in fewer bytes once in a million.
     least = math.floor(POSITIONS * similarity - 4.75 * math.sqrt(POSITIONS * similarity * (1 - similarity)))
 
@@ -205,20 +216,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         for b in batches:
             if len(b):
                 keys = children(b["leaf"].to_numpy(np.int64).view(np.uint64), _matrix(b["signature"], "<u4", POSITIONS))
-                yield pd.DataFrame({"digest": np.repeat(b["digest"].to_numpy(object), 2), "leaf": keys.ravel().view(np.int64)})
+                yield pd.DataFrame({"digest": np.repeat(b["digest"].to_numpy(object), 2), "node": np.repeat(b["leaf"].to_numpy(), 2), "leaf": keys.ravel().view(np.int64)})
 
     full = classes.where(F.length("signature") > 0).select("digest", "signature")
     nodes = cut(full.mapInPandas(roots, "digest binary, leaf long").distinct())
-    leaves = None
-    for level in range(1, levels + 1):
-        counts = cut(nodes.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"))
-        nodes = nodes.join(counts, "leaf")
-        done = nodes if level == levels else nodes.where(F.col("n") <= bucket)
-        leaves = done if leaves is None else leaves.unionAll(done)
-        if level == levels or not counts.where(F.col("n") > bucket).take(1):
-            break
-        nodes = cut(nodes.where(F.col("n") > bucket).join(full, "digest").mapInPandas(deeper, "digest binary, leaf long").distinct())
-    leaves = cut(leaves.select("digest", "leaf", "n"))
+    counts = cut(nodes.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"))
+    leaves = cut(nodes.join(counts.where(F.col("n") <= bucket), "leaf").select("digest", "leaf", "n"))
+    large = counts.where(F.col("n") > bucket)
+    while large.take(1):
+        nodes = cut(nodes.join(large, "leaf"))
+        split = cut(nodes.join(full, "digest").mapInPandas(deeper, "digest binary, node long, leaf long").distinct())
+        counts = cut(split.groupBy("node", "leaf").agg(F.count("*").alias("n")).where("n > 1"))
+        pairs = counts.groupBy(F.col("node").alias("leaf")).agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1)).alias("below"))
+        judged = cut(large.join(pairs, "leaf", "left").withColumn("crowd", F.coalesce("below", F.lit(0.0)) > worth * F.col("n") * (F.col("n") - 1)).select("leaf", "crowd"))
+        go_on = judged.where(~F.col("crowd")).select(F.col("leaf").alias("node"))
+        counts = cut(counts.join(go_on, "node", "left_semi").select("leaf", "n"))
+        stay = nodes.join(judged.where("crowd"), "leaf", "left_semi").select("digest", "leaf", "n")
+        nodes = split.select("digest", "leaf")
+        leaves = cut(leaves.unionAll(stay).unionAll(nodes.join(counts.where(F.col("n") <= bucket), "leaf").select("digest", "leaf", "n")))
+        large = counts.where(F.col("n") > bucket)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Keys of a class as sorted unsigned numbers, and the low bytes of its signature as a sketch."""
@@ -289,5 +305,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     known = known.select("digest", "copy_of", (F.col("weight") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"), F.coalesce("root", "digest").alias("root"))
     known = cut(known)
     heads = cut(known.groupBy("root").agg(F.min("copy_of").alias("class_id")))
-    known = cut(known.join(heads, "root").select("digest", "copy_of", "n_links", "class_id"))
-    return rows.select(F.col("id").alias(id_col), "digest").join(known, "digest").select(id_col, "class_id", "copy_of", "n_links")
+    known = cut(known.join(heads, "root").select("digest", "copy_of", "n_links", "class_id", F.col("root").alias("class_key")))
+    found = rows.select(F.col("id").alias(id_col), "digest", "text_key").join(known, "digest")
+    return found.select(id_col, "class_id", "copy_of", "n_links", *(["text_key", "class_key"] if with_keys else []))

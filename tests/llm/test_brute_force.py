@@ -71,7 +71,7 @@ def test_jaccard_join(spark):
 
 
 def test_runs_reach_the_recall():
-    assert jaccard.runs_for(0.99, 0.8, 3) < jaccard.runs_for(0.99999, 0.8, 3)
+    assert jaccard.runs_for(0.9, 0.8) < jaccard.runs_for(0.99999, 0.8) == 5
 
 
 @settings(max_examples=200, deadline=None)
@@ -348,3 +348,31 @@ def test_pipeline(spark):
             pieces[i, at, step, zlib.crc32(ids[at : at + step].tobytes())] += 1
             at, step = at + step, 1024
     assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == pieces
+
+
+def links_of(rows, similarity=0.8):
+    """The other documents of at least this similarity, for each id divisible by 50, against all rows."""
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        k = min(5, len(w))
+        sets[i] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if w else frozenset()
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            holders[g].append(i)
+    out = {}
+    for i, s in sets.items():
+        if i % 50 == 0 and s:
+            both = Counter(j for g in s for j in holders[g])
+            out[i] = sum(1 for j, n in both.items() if j != i and n >= similarity * (len(s) + len(sets[j]) - n) - 1e-9)
+    return out
+
+
+def test_recall_with_production_parameters(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wanted = links_of([(r["doc_id"], r["text"]) for r in df.collect()])
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.join(df).where("doc_id % 50 = 0").collect()}
+    assert sum(wanted.values()) > 0
+    assert sum(min(got[i], n) for i, n in wanted.items()) >= 0.999 * sum(wanted.values())
+    assert all(got[i] <= n for i, n in wanted.items())
