@@ -3,35 +3,50 @@ are removed, contaminated documents go, and what is left is packed into sequence
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, packing, passage_dedup, toxicity
-from tessera.llm.common import broadcast_if, table, text_key
+from tessera.llm.common import broadcast_if, shared_folder, table, text_key
 from tessera.llm.queries import tokenizer_paths
 
 #: Up to so many digests (about 20 bytes each) are broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 300_000
 
 
+def _rows(docs: DataFrame, key) -> DataFrame:
+    """Each row as one struct beside a key, so that no column of docs meets a name that a stage uses."""
+    return docs.select(F.struct("*").alias("_row"), key.alias("_key"))
+
+
+def _row_key(text_key_col) -> F.Column:
+    """A digest of id and text: rows that agree in both are the same document."""
+    id_ = F.col("doc_id").cast("string")
+    return F.unhex(F.md5(F.concat_ws(":", F.hex(text_key_col), F.coalesce(id_, F.lit("null")))))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator predicts toxic go. Every row is judged by its own text; null and empty texts
+    are clean and stay, as do null ids and repeated rows. An empty table stays empty."""
     rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
     return toxicity.toxicity(rows, table(spark, sf_dir, "labels")).where("predicted = 0").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document with the least id stays."""
-    found = jaccard.join(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    """Of each class one row stays: that of the least id (a null id only if all of the class are null), of rows of that
+    id that of the least text digest, of rows that agree in both any one. Texts without words are one class."""
+    found = jaccard.join(docs, with_keys=True).withColumn("_key", _row_key(F.col("text_key")))
+    first = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"), F.col("_key").alias("key"))
+    stay = found.groupBy("class_key").agg(F.min(first).alias("first")).select(F.col("first.key").alias("_key"))
+    kept = _rows(docs, _row_key(text_key())).join(stay, "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select("_row.*")
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose what repeats; bytes of a character that is only partly kept go too. A null text stays null."""
+    """Texts lose what repeats; bytes of a character that is only partly kept go too. All rows stay: a null text stays
+    null, a text that repeats altogether becomes empty, and rows that agree in id and text lose the same."""
     kept = passage_dedup.dedup(docs, keep_text=True).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept").dropDuplicates(["_id", "_key"])
     keyed = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), F.col("text").isNull().alias("_null"), text_key().alias("_key"))
     joined = keyed.join(kept, keyed["_row"]["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_key"]))
@@ -43,12 +58,15 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is contaminated by the benchmark go. Every row is judged by its own text: null and empty
+    texts have no words and stay, as do null ids and repeated rows."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     bad = found.where("contaminated").select("_key").distinct()
-    return docs.withColumn("_key", text_key()).join(broadcast_if(bad, BROADCAST_ROWS), "_key", "left_anti").select(*docs.columns)
+    return _rows(docs, text_key()).join(broadcast_if(bad, BROADCAST_ROWS), "_key", "left_anti").select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of each row, null texts being empty, with its sequence and place there."""
     return packing.pack(docs, *tokenizer_paths())
 
 
@@ -66,8 +84,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written as Parquet in the shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
-    folder = f"{base}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
