@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.catalog.registry import ORACLES, query
+from tessera.catalog.registry import query
 from tessera.operators import evidence as E
 
 _STATEMENTS = """s AS (SELECT doc_id % 60 AS entity, CASE doc_id % 2 WHEN 0 THEN 'gravity' ELSE 'place' END AS context_type, lang AS value, CASE doc_id % 7 WHEN 0 THEN 'run' WHEN 1 THEN 'group' WHEN 2 THEN 'campaign' ELSE 'document' END AS scope,
-  CASE WHEN doc_id % 5 = 0 THEN 'EXPLICIT_LOCAL' WHEN doc_id % 5 IN (1, 2) THEN 'VERIFIED_APPLICABLE_CONTEXT' WHEN doc_id % 101 = 0 THEN 'CONFLICTED' ELSE 'CONTEXTUAL_CANDIDATE' END AS status, doc_id % 11 = 0 AS is_exception FROM documents WHERE doc_id < 400)"""
+  CASE WHEN doc_id % 5 = 0 THEN 'EXPLICIT_LOCAL' WHEN doc_id % 5 IN (1, 2) THEN 'VERIFIED_APPLICABLE_CONTEXT' WHEN doc_id % 101 = 0 THEN 'CONFLICTED' ELSE 'CONTEXTUAL_CANDIDATE' END AS status, doc_id % 11 = 0 AS is_exception FROM documents)"""
 
 
 def _statements(documents):
@@ -30,13 +30,7 @@ v AS (SELECT entity, context_type, count(DISTINCT value) FILTER (ok AND rank = b
 o AS (SELECT *, CASE WHEN open THEN 'CONFLICTED' WHEN best IS NULL AND excepted THEN 'NOT_APPLICABLE' WHEN best IS NULL THEN 'CONTEXTUAL_CANDIDATE' WHEN n > 1 THEN 'CONFLICTED' WHEN local THEN 'EXPLICIT_LOCAL' ELSE 'VERIFIED_APPLICABLE_CONTEXT' END AS status FROM v)
 SELECT entity, context_type, status, CASE WHEN status IN ('EXPLICIT_LOCAL', 'VERIFIED_APPLICABLE_CONTEXT') THEN value END AS value FROM o""")
 def scope_resolution(t):
-    """The value that applies to each entity, by the most local authoritative statements among its SQL's first 400 ids."""
-    return E.resolve_scope(_statements(t.documents.where("doc_id < 400")))
-
-
-@query(ORACLES["scope_resolution"].replace(" WHERE doc_id < 400", ""))
-def scope_resolution_all(t):
-    """The same by the statements of all documents."""
+    """The value that applies to each entity, by the most local authoritative statements of all documents."""
     return E.resolve_scope(_statements(t.documents))
 
 

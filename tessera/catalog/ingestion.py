@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.catalog.registry import ORACLES, query
+from tessera.catalog.registry import query
 from tessera.functions import numeric as N
 from tessera.functions import text as X
 from tessera.operators import profile as P
@@ -199,22 +199,12 @@ def unique_identity_publish(t):
     return t.part.groupBy("p_brand", "p_size").agg(F.count("*").alias("n")).where("n = 1 AND p_brand LIKE '%2%'")
 
 
-@query("""SELECT page_id, url, strip[1:40] AS head, length(strip) AS n FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style|head)[^>]*>.*?</(script|style|head)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS strip FROM pages)""")
+@query("""SELECT page_id, url, strip AS text, length(strip) AS n FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style|head)[^>]*>.*?</(script|style|head)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS strip FROM pages)""")
 def html_text_extract(t):
-    """Page text before segmentation: scripts, styles and tags stripped; its SQL shows the first 40 characters."""
-    return _stripped(t.pages).select("page_id", "url", F.substring("s", 1, 40).alias("head"), F.length("s").alias("n"))
-
-
-@query(ORACLES["html_text_extract"].replace("strip[1:40] AS head", "strip AS text"))
-def html_text_extract_all(t):
-    """The same with the whole text."""
-    return _stripped(t.pages).select("page_id", "url", F.col("s").alias("text"), F.length("s").alias("n"))
-
-
-def _stripped(pages):
+    """Page text before segmentation: scripts, styles and tags stripped."""
     text = F.regexp_replace("html", "(?s)<(script|style|head)[^>]*>.*?</(script|style|head)>", " ")
     text = F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), "\\s+", " "))
-    return pages.select("page_id", "url", text.alias("s"))
+    return t.pages.select("page_id", "url", text.alias("s")).select("page_id", "url", F.col("s").alias("text"), F.length("s").alias("n"))
 
 
 @query("SELECT lang, n_mention, count(*) AS n FROM (SELECT lang, CASE WHEN regexp_matches(' ' || lower(text) || ' ', '[^\\p{L}\\p{N}-](the)[^\\p{L}\\p{N}-]') THEN 1 ELSE 0 END AS n_mention FROM documents) GROUP BY ALL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.catalog.registry import ORACLES, query
+from tessera.catalog.registry import query
 from tessera.functions import text as X
 from tessera.operators import classify as C
 from tessera.operators import records as R
@@ -53,21 +53,11 @@ def documentary_two_stage(t):
     return S.two_stage(ranking, t.documents.where("lang = 'de'").select("doc_id"), "doc_id", 5).select("doc_id", "rank", "preferred", "final_rank")
 
 
-@query(_bm25_sql(_ASK, 5) + ", b AS (SELECT doc_id, rank FROM best UNION ALL SELECT doc_id, NULL FROM documents WHERE lang = 'fr' AND doc_id < 3 AND doc_id NOT IN (SELECT doc_id FROM best)) SELECT doc_id, rank FROM b")
+@query(_bm25_sql(_ASK, 5) + ", b AS (SELECT doc_id, rank FROM best UNION ALL SELECT doc_id, NULL FROM documents WHERE lang = 'fr' AND doc_id NOT IN (SELECT doc_id FROM best)) SELECT doc_id, rank FROM b")
 def passage_backfill(t):
-    """Eligible passages that nothing ranked come after the ranked ones, without a rank; its SQL reads ids below 3."""
-    return _backfilled(t, t.documents.where("lang = 'fr' AND doc_id < 3"))
-
-
-@query(ORACLES["passage_backfill"].replace(" AND doc_id < 3", ""))
-def passage_backfill_all(t):
-    """The same with every eligible passage."""
-    return _backfilled(t, t.documents.where("lang = 'fr'"))
-
-
-def _backfilled(t, eligible):
+    """Eligible passages that nothing ranked come after the ranked ones, without a rank."""
     best = S.bm25(t.documents, _ASK, "doc_id", "text", k=5).select("doc_id", "rank")
-    rest = eligible.select("doc_id").join(best, "doc_id", "left_anti")
+    rest = t.documents.where("lang = 'fr'").select("doc_id").join(best, "doc_id", "left_anti")
     return best.unionByName(rest.withColumn("rank", F.lit(None).cast("int")))
 
 
@@ -102,23 +92,14 @@ def normalise_vectors(t):
     return v.select("vec_id", "label", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.size("v").alias("width"))
 
 
-@query("SELECT label, i - 1 AS position, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, unnest(range(1, 4)) AS u(i) GROUP BY ALL")
+@query("SELECT label, i - 1 AS position, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i) GROUP BY ALL")
 def mean_segment_embeddings(t):
-    """Mean vectors per label, shown for the first three positions."""
-    return _means(t.embeddings.select("label", F.slice("embedding", 1, 3).alias("v")))
-
-
-@query(ORACLES["mean_segment_embeddings"].replace("range(1, 4)", "range(1, len(embedding) + 1)"))
-def mean_segment_embeddings_all(t):
-    """Mean vectors per label, at all positions."""
-    return _means(t.embeddings.select("label", F.col("embedding").alias("v")))
-
-
-def _means(vectors):
-    p = vectors.select("label", F.posexplode("v").alias("position", "x"))
+    """Mean vectors per label."""
+    p = t.embeddings.select("label", F.posexplode("embedding").alias("position", "x"))
     return p.groupBy("label", "position").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
+
 _RANKINGS = """
 WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank_1 FROM documents ORDER BY rank_1 LIMIT 20),
 b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY label DESC, vec_id) AS rank_2 FROM embeddings ORDER BY rank_2 LIMIT 20),

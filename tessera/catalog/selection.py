@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.catalog.registry import ORACLES, query
+from tessera.catalog.registry import query
 from tessera.functions import numeric, units
 from tessera.operators import metrics as M
 from tessera.operators import records as R
@@ -96,20 +96,10 @@ def failure_decomposition(t):
     return t.documents.join(t.labels, "doc_id", "left").groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE abs(a.l_discount - b.l_discount) <= 1e-12 * greatest(abs(a.l_discount), abs(b.l_discount)) AND a.l_orderkey < 200")
+@query("SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE abs(a.l_discount - b.l_discount) <= 1e-12 * greatest(abs(a.l_discount), abs(b.l_discount))")
 def numeric_equivalence(t):
-    """Corroborating values of the same subject that are equal within a relative tolerance, among its SQL's keys below 200."""
-    return _equal_values(t.lineitem.where("l_orderkey < 200"))
-
-
-@query(ORACLES["numeric_equivalence"].replace(" AND a.l_orderkey < 200", ""))
-def numeric_equivalence_all(t):
-    """The same of all subjects."""
-    return _equal_values(t.lineitem)
-
-
-def _equal_values(lineitem):
-    x = lineitem.select("l_orderkey", F.col("l_linenumber").alias("a"), F.col("l_discount").alias("x"))
+    """Corroborating values of the same subject that are equal within a relative tolerance."""
+    x = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("a"), F.col("l_discount").alias("x"))
     y = x.select("l_orderkey", F.col("a").alias("b"), F.col("x").alias("y"))
     return x.join(y, "l_orderkey").where((F.col("a") < F.col("b")) & numeric.close(F.col("x"), F.col("y"))).select("l_orderkey", "a", "b")
 

@@ -17,21 +17,21 @@ def run(spark, folder, name, **tables):
 
 def test_scope_resolution_reads_every_document(spark, tmp_path):
     docs = [(0, "en"), (420, "de"), (600, "fr"), (421, "it")]
-    got = run(spark, tmp_path, "scope_resolution_all", documents=(docs, "doc_id long, lang string"))
+    got = run(spark, tmp_path, "scope_resolution", documents=(docs, "doc_id long, lang string"))
     # Id 0 is an exception; 420 states for a run and beats 600, which states for a document; 421 belongs to entity 1.
     assert {(r["entity"], r["context_type"], r["status"], r["value"]) for r in got.collect()} == {(0, "gravity", "EXPLICIT_LOCAL", "de"), (1, "place", "VERIFIED_APPLICABLE_CONTEXT", "it")}
 
 
 def test_numeric_equivalence_compares_every_order(spark, tmp_path):
     lines = [(7, 1, 0.1), (7, 2, 0.1), (200, 1, 0.05), (200, 2, 0.06), (200, 3, 0.05), (9000, 1, 0.0), (9000, 2, 0.0), (9001, 1, 0.0)]
-    got = run(spark, tmp_path, "numeric_equivalence_all", lineitem=(lines, "l_orderkey long, l_linenumber int, l_discount double"))
+    got = run(spark, tmp_path, "numeric_equivalence", lineitem=(lines, "l_orderkey long, l_linenumber int, l_discount double"))
     assert sorted(map(tuple, got.collect())) == [(7, 1, 2), (200, 1, 3), (9000, 1, 2)]
 
 
 def test_endpoint_matrix_validates_every_order(spark, tmp_path):
     orders = ([(1, 1), (2, 2), (20, 2), (21, 1)], "o_orderkey long, o_custkey long")
     customers = ([(1, "BUILDING"), (2, "MACHINERY")], "c_custkey long, c_mktsegment string")
-    got = run(spark, tmp_path, "endpoint_matrix_all", orders=orders, customer=customers)
+    got = run(spark, tmp_path, "endpoint_matrix", orders=orders, customer=customers)
     assert sorted(map(tuple, got.collect())) == [("o2", "placedBy", "c2"), ("o20", "placedBy", "c2")]
 
 
@@ -68,7 +68,7 @@ def test_greedy_budget_gathers_few_items_of_a_hot_group(spark):
 
 def test_passage_backfill_has_every_eligible_passage(spark, tmp_path):
     docs = [(i, "fr", "rien") for i in (1, 3, 50, 900)] + [(i, "fr", "reer " * (i - 90)) for i in range(91, 98)] + [(4, "de", "nichts")]
-    got = run(spark, tmp_path, "passage_backfill_all", documents=(docs, "doc_id long, lang string, text string")).collect()
+    got = run(spark, tmp_path, "passage_backfill", documents=(docs, "doc_id long, lang string, text string")).collect()
     ranked = [r["doc_id"] for r in got if r["rank"] is not None]
     assert len(ranked) == 5 and set(ranked) < set(range(91, 98))
     assert sorted(r["doc_id"] for r in got if r["rank"] is None) == sorted({1, 3, 50, 900, *range(91, 98)} - set(ranked))
@@ -96,19 +96,9 @@ def test_quotes_by_document_count_has_short_items(spark, tmp_path):
     assert {r["n_texts"]: r["n"] for r in got.collect()} == {3: 1, 2: 1, 1: 4}
 
 
-def test_op5_scores_by_two_words_of_context(spark, tmp_path):
-    from tessera.llm import queries
-
-    texts = [(1, "a b c"), (2, "p b c")]
-    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["n_backoff"] for r in queries.op5_lm_scoring(spark, str(tmp_path)).collect()}
-    # 'b' backs off, as 'a b' is in no other text, and 'c' as 'a b c' is in none, though 'b c' is.
-    assert got == {1: 2, 2: 2}
-
-
 def test_mean_segment_embeddings_has_every_position(spark, tmp_path):
     vectors = [(0, [1.0, 2.0, 3.0, 4.0, 5.0]), (0, [3.0, 2.0, 1.0, 0.0, 6.0]), (1, [0.0, 0.0, 0.0, 0.0, 7.0])]
-    got = run(spark, tmp_path, "mean_segment_embeddings_all", embeddings=(vectors, "label int, embedding array<float>"))
+    got = run(spark, tmp_path, "mean_segment_embeddings", embeddings=(vectors, "label int, embedding array<float>"))
     means = {(0, i): m for i, m in enumerate([2.0, 2.0, 2.0, 2.0, 5.5])} | {(1, i): m for i, m in enumerate([0.0, 0.0, 0.0, 0.0, 7.0])}
     assert {(r["label"], r["position"]): r["mean"] for r in got.collect()} == means
 
@@ -116,5 +106,5 @@ def test_mean_segment_embeddings_has_every_position(spark, tmp_path):
 def test_html_text_extract_gives_the_whole_text(spark, tmp_path):
     words = "word " * 30
     pages = [(1, "http://a", f"<head>x</head><p>{words}</p><script>y</script><b>end</b>")]
-    got = run(spark, tmp_path, "html_text_extract_all", pages=(pages, "page_id long, url string, html string")).collect()
+    got = run(spark, tmp_path, "html_text_extract", pages=(pages, "page_id long, url string, html string")).collect()
     assert [(r["text"], r["n"]) for r in got] == [(words + "end", 153)]
