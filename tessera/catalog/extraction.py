@@ -12,13 +12,13 @@ from tessera.operators import validation as V
 @query("SELECT doc_id, length(text) AS covered FROM documents WHERE length(text) > 0")
 def structural_segments_cover(t):
     """Structural segments of each document cover every character."""
-    return X.segment_table(t.documents, "doc_id", "text", 1500).groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("covered"))
+    return X.segment_table(t.texts(), "doc_id", "text", 1500).groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("covered"))
 
 
 @query(None)
 def source_anchors(t):
     """Sentences, bullets and headings with exact offsets, counted by kind."""
-    return X.anchor_table(t.documents, "doc_id", "text").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
+    return X.anchor_table(t.texts(), "doc_id", "text").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
 
 
 @query("SELECT item_id, 0 AS start, length(text) AS \"end\" FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, 3, length(text) + 3 FROM benchmark WHERE item_id % 2 = 1")
@@ -165,6 +165,6 @@ SELECT CASE WHEN cues = 0 THEN 'NO_CUES' WHEN cues * 2 >= n THEN 'DENSE' ELSE 'S
 def extraction_coverage(t):
     """Documents by how many of their lines hold a quantity cue."""
     lines = F.split("text", "\n")
-    s = t.documents.select(F.size(F.filter(lines, lambda x: x.rlike("[0-9]"))).alias("cues"), F.size(lines).alias("n"))
+    s = t.texts().select(F.size(F.filter(lines, lambda x: x.rlike("[0-9]"))).alias("cues"), F.size(lines).alias("n"))
     state = F.when(F.col("cues") == 0, "NO_CUES").when(F.col("cues") * 2 >= F.col("n"), "DENSE").otherwise("SPARSE")
     return s.groupBy(state.alias("state")).agg(F.count("*").alias("n_documents"), F.sum("cues").alias("n_cues"))

@@ -70,13 +70,13 @@ SELECT doc_id, i AS start, least(i + {w}, length(t)) AS "end", sha256(substr(t,
 @query(_WINDOWS.format(w=4000, s=3500, m=80))
 def segment_windows(t):
     """Overlapping windows of 4,000 characters every 3,500; short ones are left out."""
-    return t.documents.select("doc_id", F.explode(X.windows("text", 4000, 3500, 80)).alias("w")).select("doc_id", "w.start", "w.end", F.sha2("w.text", 256).alias("digest"))
+    return t.texts().select("doc_id", F.explode(X.windows("text", 4000, 3500, 80)).alias("w")).select("doc_id", "w.start", "w.end", F.sha2("w.text", 256).alias("digest"))
 
 
 @query(_WINDOWS.format(w=2800, s=2800, m=1))
 def embedding_segments(t):
     """Windows of 2,800 characters without overlap."""
-    return t.documents.select("doc_id", F.explode(X.windows("text", 2800, 2800)).alias("w")).select("doc_id", "w.start", "w.end", F.sha2("w.text", 256).alias("digest"))
+    return t.texts().select("doc_id", F.explode(X.windows("text", 2800, 2800)).alias("w")).select("doc_id", "w.start", "w.end", F.sha2("w.text", 256).alias("digest"))
 
 
 @query("""SELECT doc_id, position, CASE WHEN regexp_matches(s, '(?i)(worthless|idiot|stupid)') THEN 'conclusion' WHEN regexp_matches(s, '(?i)(license|released|rights)') THEN 'safety' WHEN regexp_matches(s, '[0-9]') THEN 'condition' ELSE 'observation' END AS label, length(s) AS n
@@ -84,7 +84,7 @@ FROM (SELECT doc_id, unnest(l) AS s, unnest(range(0, len(l))) AS position FROM (
 def sentence_candidates(t):
     """Sentences with the label of the first rule they meet."""
     rules = [("conclusion", "(worthless|idiot|stupid)"), ("safety", "(license|released|rights)"), ("condition", "[0-9]")]
-    s = t.documents.select("doc_id", F.posexplode(X.sentences("text")).alias("position", "s"))
+    s = t.texts().select("doc_id", F.posexplode(X.sentences("text")).alias("position", "s"))
     return s.select("doc_id", "position", X.first_label(F.col("s"), rules, "observation").alias("label"), F.length("s").alias("n"))
 
 
@@ -92,19 +92,19 @@ def sentence_candidates(t):
 def role_errors(t):
     """All rules that a statement breaks, in order."""
     rules = [("license", "(license|rights reserved)"), ("secret", "(token|key) *="), ("contact", "@[a-z0-9.]+")]
-    return t.documents.select("doc_id", X.all_labels(F.col("text"), rules).alias("errors"))
+    return t.texts().select("doc_id", X.all_labels(F.col("text"), rules).alias("errors"))
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(must|shall|should|do not) ')")
 def normative_instructions(t):
     """Texts with normative wording."""
-    return t.documents.where(F.col("text").rlike("(?i)(must|shall|should|do not) ")).select("doc_id")
+    return t.texts().where(F.col("text").rlike("(?i)(must|shall|should|do not) ")).select("doc_id")
 
 
 @query("""SELECT doc_id, length(text) AS n_chars, len(regexp_extract_all(text, '[0-9]+')) AS n_numbers, len(regexp_extract_all(text, '[.!?]')) AS n_sentences, len(string_split(text, chr(10))) AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, '|'))) AS n_table_lines FROM documents""")
 def document_complexity(t):
     """Characters, numbers, sentence ends, lines and table lines of each document."""
-    return t.documents.select(
+    return t.texts().select(
         "doc_id",
         F.length("text").alias("n_chars"),
         F.regexp_count("text", F.lit("[0-9]+")).alias("n_numbers"),
@@ -117,7 +117,7 @@ def document_complexity(t):
 @query("""SELECT doc_id, len(regexp_extract_all(text, '[-+]?[0-9]+(?:\\.[0-9]+)?\\s*(?:mm|cm|m|s|%)[^A-Za-z0-9]')) > 0 AS has_quantity FROM documents""")
 def quantity_mentions(t):
     """Documents that mention a number with a unit."""
-    return t.documents.select("doc_id", F.col("text").rlike("[-+]?[0-9]+(?:\\.[0-9]+)?\\s*(?:mm|cm|m|s|%)[^A-Za-z0-9]").alias("has_quantity"))
+    return t.texts().select("doc_id", F.col("text").rlike("[-+]?[0-9]+(?:\\.[0-9]+)?\\s*(?:mm|cm|m|s|%)[^A-Za-z0-9]").alias("has_quantity"))
 
 
 _SPANS = "spans AS (SELECT doc_id % 50 AS d, (doc_id * 37) % 900 AS start, (doc_id * 37) % 900 + n_chars % 40 + 5 AS \"end\" FROM documents)"
@@ -178,7 +178,7 @@ def page_continuation(t):
 def repeated_lines(t):
     """Header and footer candidates: lines that a document repeats."""
     lines = F.filter(X.paragraphs("text"), lambda x: x != "")
-    return t.documents.select("doc_id", lines.alias("l")).select("doc_id", (F.size("l") - F.size(F.array_distinct("l"))).alias("n_repeated"))
+    return t.texts().select("doc_id", lines.alias("l")).select("doc_id", (F.size("l") - F.size(F.array_distinct("l"))).alias("n_repeated"))
 
 
 @query("""WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda x: length(x) > 3)) AS t FROM conversations),
@@ -204,13 +204,13 @@ def html_text_extract(t):
     """Page text before segmentation: scripts, styles and tags stripped."""
     text = F.regexp_replace("html", "(?s)<(script|style|head)[^>]*>.*?</(script|style|head)>", " ")
     text = F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), "\\s+", " "))
-    return t.pages.select("page_id", "url", text.alias("s")).select("page_id", "url", F.col("s").alias("text"), F.length("s").alias("n"))
+    return t.texts("pages").select("page_id", "url", text.alias("s")).select("page_id", "url", F.col("s").alias("text"), F.length("s").alias("n"))
 
 
 @query("SELECT lang, n_mention, count(*) AS n FROM (SELECT lang, CASE WHEN regexp_matches(' ' || lower(text) || ' ', '[^\\p{L}\\p{N}-](the)[^\\p{L}\\p{N}-]') THEN 1 ELSE 0 END AS n_mention FROM documents) GROUP BY ALL")
 def mention_by_word(t):
     """Whole-word mentions of an alias."""
-    return t.documents.select("lang", X.mentions(F.col("text"), F.lit("the")).cast("int").alias("n_mention")).groupBy("lang", "n_mention").agg(F.count("*").alias("n"))
+    return t.texts().select("lang", X.mentions(F.col("text"), F.lit("the")).cast("int").alias("n_mention")).groupBy("lang", "n_mention").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(lower(text), 'der') AND contains(lower(text), 'the') THEN 'AMBIGUOUS' WHEN contains(lower(text), 'der') THEN 'de' WHEN contains(lower(text), 'the') THEN 'en' ELSE 'UNKNOWN' END AS concept FROM documents")
@@ -218,4 +218,4 @@ def lexicon_substring(t):
     """Substring aliases: one concept, several (ambiguous) or none."""
     low = F.lower("text")
     a, b = F.contains(low, F.lit("der")), F.contains(low, F.lit("the"))
-    return t.documents.select("doc_id", F.when(a & b, "AMBIGUOUS").when(a, "de").when(b, "en").otherwise("UNKNOWN").alias("concept"))
+    return t.texts().select("doc_id", F.when(a & b, "AMBIGUOUS").when(a, "de").when(b, "en").otherwise("UNKNOWN").alias("concept"))

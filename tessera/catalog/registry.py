@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.operators.lineage import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,10 +16,14 @@ class Tables:
     """The driver's tables by attribute, read when used."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self._folder = spark, folder
+        self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def texts(self, name: str = "documents") -> DataFrame:
+        """A table whose texts are worked on: a task for each core at least, however few its files are."""
+        return spread(getattr(self, name))
 
 
 def query(sql: str | None = None):

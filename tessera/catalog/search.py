@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.catalog.registry import query
 from tessera.functions import text as X
 from tessera.operators import classify as C
+from tessera.operators import postings as I
 from tessera.operators import records as R
 from tessera.operators import retrieval as S
 
@@ -33,30 +34,34 @@ _ASK = "and the reer thend"
 _COSINE = "round(list_dot_product(embedding::DOUBLE[], {q}) / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({q}, {q})), 1e-12), 9)"
 
 
+def _index(t):
+    return I.stored(t.texts(), "doc_id", "text")
+
+
 @query(_bm25_sql(_ASK, 10) + "SELECT doc_id, round(score, 6) AS score, rank FROM best")
 def bm25_topk(t):
     """The ten best documents for a question."""
-    return S.bm25(t.documents, _ASK, "doc_id", "text").withColumn("score", F.round("score", 6))
+    return _index(t).top(_ASK).withColumn("score", F.round("score", 6))
 
 
 @query(_bm25_sql(_ASK, 10, "lang = 'en' AND source IN ('src1', 'src2', 'src3')") + "SELECT doc_id, round(score, 6) AS score, rank FROM best")
 def bm25_topk_eligible(t):
     """The same among eligible documents, with statistics of the whole table."""
     eligible = t.documents.where(F.col("source").isin("src1", "src2", "src3") & (F.col("lang") == "en")).select("doc_id")
-    return S.bm25(t.documents, _ASK, "doc_id", "text", eligible=eligible).withColumn("score", F.round("score", 6))
+    return _index(t).top(_ASK, eligible=eligible).withColumn("score", F.round("score", 6))
 
 
 @query(_bm25_sql(_ASK, 20) + ", p AS (SELECT best.*, CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS preferred FROM best JOIN documents USING (doc_id)) SELECT doc_id, rank, preferred, row_number() OVER (ORDER BY preferred DESC, rank) AS final_rank FROM p ORDER BY final_rank LIMIT 5")
 def documentary_two_stage(t):
     """Twenty ranked documents, of which five stay, preferred ones first."""
-    ranking = S.bm25(t.documents, _ASK, "doc_id", "text", k=20)
+    ranking = _index(t).top(_ASK, 20)
     return S.two_stage(ranking, t.documents.where("lang = 'de'").select("doc_id"), "doc_id", 5).select("doc_id", "rank", "preferred", "final_rank")
 
 
 @query(_bm25_sql(_ASK, 5) + ", b AS (SELECT doc_id, rank FROM best UNION ALL SELECT doc_id, NULL FROM documents WHERE lang = 'fr' AND doc_id NOT IN (SELECT doc_id FROM best)) SELECT doc_id, rank FROM b")
 def passage_backfill(t):
     """Eligible passages that nothing ranked come after the ranked ones, without a rank."""
-    best = S.bm25(t.documents, _ASK, "doc_id", "text", k=5).select("doc_id", "rank")
+    best = _index(t).top(_ASK, 5).select("doc_id", "rank")
     rest = t.documents.where("lang = 'fr'").select("doc_id").join(best, "doc_id", "left_anti")
     return best.unionByName(rest.withColumn("rank", F.lit(None).cast("int")))
 
@@ -100,16 +105,18 @@ def mean_segment_embeddings(t):
 
 
 
-_RANKINGS = """
-WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank_1 FROM documents ORDER BY rank_1 LIMIT 20),
-b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY label DESC, vec_id) AS rank_2 FROM embeddings ORDER BY rank_2 LIMIT 20),
+#: The best twenty by BM25 and by cosine; a document's vector has its id.
+_RANKINGS = (
+    _bm25_sql(_ASK, 20)
+    + f""", a AS (SELECT doc_id, rank AS rank_1 FROM best),
+v AS (SELECT vec_id, {_COSINE.format(q='p')} AS score FROM embeddings, (SELECT {_Q} AS p)),
+b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank_2 FROM v ORDER BY rank_2 LIMIT 20),
 f AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, rank_1, rank_2, round(coalesce(1.0 / (60 + rank_1), 0) + coalesce(1.0 / (60 + rank_2), 0), 12) AS score FROM a FULL JOIN b ON a.doc_id = b.doc_id)"""
+)
 
 
 def _rankings(t):
-    a = S.with_rank(t.documents.select("doc_id", F.col("n_chars").alias("s")).orderBy(F.desc("s"), "doc_id").limit(20), "s", "doc_id")
-    b = S.with_rank(t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("s")).orderBy(F.desc("s"), "doc_id").limit(20), "s", "doc_id")
-    return a, b
+    return _index(t).top(_ASK, 20), S.cosine_top(t.embeddings.withColumnRenamed("vec_id", "doc_id"), _probe(t), "doc_id", "embedding", 20)
 
 
 @query(_RANKINGS + " SELECT doc_id, rank_1, rank_2, round(score, 9) AS score FROM f")
@@ -163,7 +170,7 @@ FROM s JOIN c USING (source)""")
 def information_selection(t):
     """Statements ranked by 3 x own overlap + context overlap; those without own support carry the reason."""
     topics = F.array(*[F.lit(x) for x in _TOPICS])
-    d = t.documents.select("doc_id", "source", F.array_intersect(X.token_set("text"), topics).alias("own"))
+    d = t.texts().select("doc_id", "source", F.array_intersect(X.token_set("text"), topics).alias("own"))
     # The context of a source is the union of its documents' few topic words, not of their texts.
     c = d.select("source", F.explode("own").alias("w")).groupBy("source").agg(F.countDistinct("w").alias("n_context"))
     s = d.join(c, "source").select("doc_id", (3 * F.size("own") + F.col("n_context") - F.size("own")).alias("score"), F.size("own").alias("n_own"))
@@ -175,7 +182,7 @@ def information_selection(t):
 def staged_search(t):
     """Staged rows by overlap with the question, ties by id, limited."""
     topics = F.array(*[F.lit(x) for x in _TOPICS])
-    s = t.documents.select("doc_id", F.size(F.array_intersect(X.token_set("text"), topics)).alias("overlap")).where("overlap > 0")
+    s = t.texts().select("doc_id", F.size(F.array_intersect(X.token_set("text"), topics)).alias("overlap")).where("overlap > 0")
     return C.ranked(C.top(s, "overlap", "doc_id", 25), "overlap", "doc_id").select("doc_id", "overlap", "rank")
 
 
@@ -183,7 +190,7 @@ def staged_search(t):
 def topic_gate(t):
     """Documents with a form of the topic, and a word of a family."""
     words = F.arrays_overlap(X.token_set("text"), F.array(F.lit("tion"), F.lit("einer"), F.lit("que")))
-    return t.documents.where(words & F.lower("text").rlike("\\b(the|der|les|los)\\b")).select("doc_id")
+    return t.texts().where(words & F.lower("text").rlike("\\b(the|der|les|los)\\b")).select("doc_id")
 
 
 @query(f"SELECT conv_id, turn, list_sort(list_filter({_SET.format('text')}, lambda w: length(w) >= 4 AND w NOT IN {X.STOP_WORDS})) AS terms FROM conversations")
@@ -196,7 +203,7 @@ def topic_terms(t):
 SELECT doc_id, quote, length(quote) AS n FROM p WHERE length(quote) BETWEEN 50 AND 700 AND quote[-1] IN ('.', '?', '!') AND regexp_matches(lower(quote), '(^|[^\\p{L}])(worthless|der|pour|para)([^\\p{L}]|$)')""")
 def paragraph_quotes(t):
     """Paragraphs of quotable length that end a sentence and hold a word of the question."""
-    p = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("q")).select("doc_id", F.trim("q").alias("quote"))
+    p = t.texts().select("doc_id", F.explode(F.split("text", "\n")).alias("q")).select("doc_id", F.trim("q").alias("quote"))
     return p.where(F.length("quote").between(50, 700) & F.col("quote").rlike("[.?!]$") & F.lower("quote").rlike("(^|[^\\p{L}])(worthless|der|pour|para)([^\\p{L}]|$)")).select("doc_id", "quote", F.length("quote").alias("n"))
 
 
@@ -245,7 +252,7 @@ def quotes_by_document_count(t):
     """How many documents hold each benchmark passage word for word."""
     from tessera.operators import spans as P
 
-    found = P.locate(t.benchmark, t.documents, "item_id", "text", "doc_id", "text")
+    found = P.locate(t.benchmark, t.texts(), "item_id", "text", "doc_id", "text")
     return found.groupBy("n_texts").agg(F.count("*").alias("n"))
 
 
@@ -256,7 +263,7 @@ def span_recover_exact(t):
     """The place of each passage that occurs once, in one document."""
     from tessera.operators import spans as P
 
-    return P.locate(t.benchmark, t.documents, "item_id", "text", "doc_id", "text")
+    return P.locate(t.benchmark, t.texts(), "item_id", "text", "doc_id", "text")
 
 
 @query("SELECT source, lang, count(*) AS n FROM (SELECT DISTINCT source, lang, n_chars FROM documents) GROUP BY ALL")

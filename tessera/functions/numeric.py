@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,6 +108,24 @@ def parse_expression(text: str) -> Expression:
     raise ValueError("no number")
 
 
+def parse_expressions(text: Column) -> Column:
+    """struct(operator, value, lower, upper, tolerance, unit) of each phrase, in Arrow batches; null where it is none."""
+    fields = ("operator", "value", "lower", "upper", "tolerance", "unit")
+
+    @F.pandas_udf("operator string, value double, lower double, upper double, tolerance double, unit string")
+    def run(phrases: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p in phrases:
+            try:
+                x = parse_expression(p or "")
+                rows.append([getattr(x, f) for f in fields])
+            except ValueError:
+                rows.append([None] * len(fields))
+        return pd.DataFrame(rows, columns=fields).astype({f: "float64" for f in fields[1:5]})
+
+    return run(text)
+
+
 #: Adjectives of extent and the axis that they name (fixed values).
 AXES = {"thick": "thickness", "wide": "width", "long": "length", "tall": "height", "deep": "depth", "high": "height"}
 

@@ -111,19 +111,35 @@ def respectively(clause: str, names: list[str]) -> list[tuple[str, str]]:
     return [(min(found, key=lambda f: (abs(f[0] - at), f[0]))[1], v) for at, v in values if found]
 
 
-def hard_anchors(text: str) -> set[str]:
-    """What a rewording must keep: numbers with units, identifiers, quoted words and negations."""
-    names = re.compile(r"\b[A-Z]{2,}[-_]?\d+\b|\b10\.\d{4,}/\S+")
+#: Words that deny (fixed values).
+NEGATIONS = "not|no|never|without|except|excluding|cannot|can't"
+
+
+def hard_anchors(text: str, names: tuple[str, ...] = ()) -> set[str]:
+    """What a rewording must keep: numbers with units, identifiers, quoted words, negations, and registered names of
+    entities, properties and sources."""
+    known = {n.lower() for n in names if re.search(rf"(?<![\w-]){re.escape(n)}(?![\w-])", text, re.I)}
+    codes = re.compile(r"\b[A-Z]{2,}[-_]?\d+\b|\b10\.\d{4,}/\S+")
     spelled = "|".join(re.escape(u) for u in sorted(UNITS, key=len, reverse=True))
-    out = {m.lower() for m in names.findall(text)}
-    out |= {re.sub(r"\s+", "", m).lower() for m in re.findall(rf"(?<![\w-])[-+]?\d+(?:\.\d+)?(?:\s*(?:{spelled})(?!\w))?", names.sub(" ", text), re.I)}
+    out = known | {m.lower() for m in codes.findall(text)}
+    out |= {re.sub(r"\s+", "", m).lower() for m in re.findall(rf"(?<![\w-])[-+]?\d+(?:\.\d+)?(?:\s*(?:{spelled})(?!\w))?", codes.sub(" ", text), re.I)}
     out |= {m.lower() for m in re.findall(r"\"([^\"]+)\"", text)}
-    return out | {m.lower() for m in re.findall(r"\b(?:not|no|never|without|except)\b", text, re.I)}
+    return out | {m.lower() for m in re.findall(rf"\b(?:{NEGATIONS})\b", text, re.I)}
 
 
-def keeps_meaning(original: str, reworded: str) -> bool:
+def keeps_meaning(original: str, reworded: str, names: tuple[str, ...] = ()) -> bool:
     """Whether a rewording adds or loses no hard anchor."""
-    return hard_anchors(original) == hard_anchors(reworded)
+    return hard_anchors(original, names) == hard_anchors(reworded, names)
+
+
+def kept_meaning(original: Column | str, reworded: Column | str, names: tuple[str, ...] = ()) -> Column:
+    """The same for columns, in Arrow batches; null counts as empty."""
+
+    @F.pandas_udf("boolean")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([keeps_meaning(x or "", y or "", names) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return run(original, reworded)
 
 
 def _spans(df: DataFrame, id_col: str, text_col: str, find, schema: str) -> DataFrame:

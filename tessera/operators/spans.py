@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import broadcast_if, written
+
+#: Up to so many digests (8 bytes each), and a tenth as many candidates, are broadcast; beyond it both sides shuffle.
+BROADCAST_ROWS = 400_000
+
 
 def merge(spans: DataFrame, by: list[str], start: str = "start", end: str = "end", gap: int = 0) -> DataFrame:
     """Spans that overlap, or lie at most `gap` apart, become one (gaps and islands)."""
@@ -23,20 +28,26 @@ def locate(quotes: DataFrame, texts: DataFrame, quote_key: str, quote_col: str,
     """(quote, n_texts, text id, start) of quotes found in texts; start counts from 0; the id and start are null unless
     the text is unique and the quote occurs in it once.
 
-    Candidates come from an equality join on the first `words` inner words of each quote, or on all of them if there
-    are fewer: its first and last word may be parts of words of the text, but what is between them are whole words. Only
-    quotes of one or two words have none; they meet every text in a scan. The exact test follows.
+    Candidates come from an equality join of digests of the first `words` inner words of each quote, or of all of them
+    if there are fewer: its first and last word may be parts of words of the text, but what is between them are whole
+    words. Only digests and ids of texts are opened into rows; the texts of candidates are fetched for the exact test.
+    Only quotes of one or two words have no inner word; they meet every text in a scan.
     """
     grams = lambda c: F.array_remove(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "\\s+"), "")
     q = quotes.select(F.col(quote_key), F.col(quote_col).alias("_q"), grams(quote_col).alias("_w")).where(F.col(quote_col).isNotNull())
-    q = q.withColumn("_n", F.least(F.greatest(F.size("_w") - 2, F.lit(0)), F.lit(words))).withColumn("_key", F.array_join(F.slice("_w", F.lit(2), F.col("_n")), " "))
+    q = q.withColumn("_n", F.least(F.greatest(F.size("_w") - 2, F.lit(0)), F.lit(words))).withColumn("_key", F.xxhash64(F.slice("_w", F.lit(2), F.col("_n"))))
+    q = written(q.drop("_w"))
     # At most words + 1 numbers; a text is opened into the n-grams of those lengths only.
     lengths = {r[0] for r in q.select("_n").distinct().collect()}
-    t = texts.select(F.col(text_key), F.col(text_col).alias("_t"), grams(text_col).alias("_v"))
-    keys = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_v") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_v", i, F.lit(n)), " "))
-    opened = F.array_distinct(F.concat(*[keys(n) for n in sorted(lengths - {0})] or [F.array().cast("array<string>")]))
+    t = texts.select(F.col(text_key), F.col(text_col).alias("_t"))
+    keys = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_v") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("_v", i, F.lit(n))))
+    opened = F.concat(*[keys(n) for n in sorted(lengths - {0})] or [F.array().cast("array<long>")])
     inside = F.col("_t").contains(F.col("_q"))
-    hit = q.where("_n > 0").join(t.withColumn("_key", F.explode(opened)).drop("_v"), "_key").where(inside).select(quote_key, text_key, "_q", "_t")
+    wanted = broadcast_if(q.where("_n > 0").select("_key").distinct(), BROADCAST_ROWS)
+    met = texts.select(F.col(text_key), grams(text_col).alias("_v")).select(text_key, F.explode(opened).alias("_key")).join(wanted, "_key").distinct()
+    pairs = written(q.where("_n > 0").join(met, "_key").select(quote_key, "_q", F.col(text_key).alias("_id")).distinct())
+    named = broadcast_if(pairs, BROADCAST_ROWS // 10)
+    hit = t.join(named, F.col(text_key).eqNullSafe(F.col("_id"))).where(inside).select(quote_key, text_key, "_q", "_t")
     if 0 in lengths:
         hit = hit.unionByName(q.where("_n = 0").join(t, inside).select(quote_key, text_key, "_q", "_t"))
     one = (F.length("_t") - F.length(F.replace("_t", "_q", F.lit("")))) == F.length("_q")

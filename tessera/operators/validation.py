@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import written
+
 
 def reasons(rules: dict[str, Column]) -> Column:
     """Names of the broken rules, in order; a rule that is null is not broken."""
@@ -31,14 +33,12 @@ def endpoint_errors(edges: DataFrame, classes: DataFrame, matrix: list[tuple[str
     return edges.join(fine.select("subject", "relation", "object").distinct(), ["subject", "relation", "object"], "left_anti")
 
 
-def cascade(rejected: DataFrame, dependents: DataFrame, node: str = "node", depends_on: str = "depends_on", depth: int = 8) -> DataFrame:
-    """All nodes that are rejected or depend, directly or not, on one that is."""
-    out = frontier = rejected.select(node).distinct()
-    for _ in range(depth):
-        frontier = dependents.join(frontier.select(F.col(node).alias(depends_on)), depends_on, "left_semi").select(node).distinct().join(out, node, "left_anti")
-        if not frontier.take(1):
-            break
-        out = out.unionAll(frontier)
+def cascade(rejected: DataFrame, dependents: DataFrame, node: str = "node", depends_on: str = "depends_on") -> DataFrame:
+    """All nodes that are rejected or depend, directly or not, on one that is; each round is written down."""
+    out = frontier = written(rejected.select(node).distinct())
+    while frontier.take(1):
+        frontier = written(dependents.join(frontier.select(F.col(node).alias(depends_on)), depends_on, "left_semi").select(node).distinct().join(out, node, "left_anti"))
+        out = written(out.unionAll(frontier))
     return out
 
 

@@ -59,6 +59,7 @@ class Registry:
     entities: dict[str, tuple[str, str]] = field(default_factory=dict)  # alias -> (relation, entity)
     weights: dict[str, float] = field(default_factory=dict)
     anchors: tuple[str, ...] = ()
+    protected: tuple[str, ...] = ()  # words that mean several things: never resolved by themselves
 
     def register(self, *items: Property | Relation) -> None:
         for x in items:

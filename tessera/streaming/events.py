@@ -76,3 +76,12 @@ def upsert_sink(df: DataFrame, folder: str, keys: list[str], order: list[str], c
         generations.write(new, folder, f"batch-{number}")
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def last_batch(df: DataFrame, folder: str, checkpoint: str):
+    """A sink that keeps the complete result of the last micro-batch, written whole."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(folder)
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete")
