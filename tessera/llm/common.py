@@ -3,53 +3,37 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import broadcast_if, shared_folder, spread, written
+
+__all__ = ["broadcast_if", "shared_folder", "spread", "written"]
+
 #: The white space that separates words in the quality and packing contracts.
 SPACES = "\t\n\x0b\x0c\r "
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+    """A table; those whose texts are worked on have a task for each core at least, however few their files are."""
+    t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(t) if name in ("documents", "pages") else t
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or the one set on the context. A
-    temporary folder serves only where all run on one machine, as in tests; elsewhere a missing setting is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    given = sc._jsc.sc().getCheckpointDir()
-    if given.isDefined():
-        return given.get()
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir names no shared folder")
-    return os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
 
-
-def checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(spark))
+def release(spark: SparkSession) -> None:
+    """Has shuffles and broadcasts removed that nothing refers to any more, which Spark does only when the driver
+    collects its garbage: a chain of steps then holds no more disk and driver memory than its largest step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that later steps survive lost executors and read it once.
-
-    Spark removes shuffles and broadcasts that nothing refers to any more only when the driver collects its garbage,
-    so it is asked to: a chain of steps then holds no more disk and driver memory than its largest step.
-    """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Materialise in the shared checkpoint folder, so that later steps survive lost executors and read it once. What
+    the step shuffled is given up with the caller's last reference to df, at the next release."""
+    out = written(df)
+    release(df.sparkSession)
     return out
 
 
@@ -57,16 +41,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether a relation has at most so many rows; reads no more of it than needed."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint only where the checked row count is under the bound; else Spark shuffles both sides."""
-    return F.broadcast(df) if small(df, rows) else df
-
-
 def text_key(text: str = "text"):
     """A 16 byte digest of a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
