@@ -170,7 +170,7 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.99999, bucket: int = 200, block: int = 1000, worth: float = 0.9, with_keys: bool = False) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.99999, bucket: int = 200, block: int = 1000, worth: float = 0.9, local: int = 20_000, with_keys: bool = False) -> DataFrame:
     """One row per row of docs: class_id, the least id among documents linked to it directly or not; copy_of, the
     least id among those with its shingle set; n_links, the number of other documents with similarity or more to it.
     With with_keys also text_key, the digest of the text, and class_key, which tells classes apart if ids do not.
@@ -180,7 +180,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     null. Repeated rows count as copies. Texts of any length take part whole. An empty table gives no rows. Only id
     and text are read, whatever other columns are called.
 
-    A node of over `bucket` classes is split unless its children would hold over `worth` times its pairs.
+    A node of over `bucket` classes is split unless its children would hold over `worth` times its pairs; below a node
+    of at most `local` classes one task does it.
     """
     spark = docs.sparkSession
     runs = runs_for(recall, similarity)
@@ -219,22 +220,45 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
                 yield pd.DataFrame({"digest": np.repeat(b["digest"].to_numpy(object), 2), "node": np.repeat(b["leaf"].to_numpy(), 2), "leaf": keys.ravel().view(np.int64)})
 
     full = classes.where(F.length("signature") > 0).select("digest", "signature")
+    def settle(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        """The leaves below a node that one task can hold."""
+        s, digest = _matrix(b["signature"], "<u4", POSITIONS), b["digest"].to_numpy(object)
+        out, stack = [], [(int(b["leaf"].iloc[0]), np.arange(len(b)))]
+        while stack:
+            node, rows = stack.pop()
+            if len(rows) > bucket:
+                keys = children(np.full(len(rows), node, np.int64).view(np.uint64), s[rows])
+                found, at, n = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
+                if (n.astype(float) * (n - 1)).sum() <= worth * len(rows) * (len(rows) - 1):
+                    # A class goes to a child once, even if both its positions lead there.
+                    pair = np.unique(at * np.int64(len(rows)) + np.repeat(np.arange(len(rows)), 2))
+                    for child in np.split(pair, np.flatnonzero(np.diff(pair // len(rows))) + 1):
+                        if len(child) > 1:
+                            stack.append((int(found[child[0] // len(rows)].view(np.int64)), rows[child % len(rows)]))
+                    continue
+            out.append(pd.DataFrame({"digest": digest[rows], "leaf": np.int64(node), "n": np.int64(len(rows))}))
+        return pd.concat(out) if out else pd.DataFrame([], columns=["digest", "leaf", "n"])
+
     nodes = cut(full.mapInPandas(roots, "digest binary, leaf long").distinct())
     counts = cut(nodes.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"))
-    leaves = cut(nodes.join(counts.where(F.col("n") <= bucket), "leaf").select("digest", "leaf", "n"))
-    large = counts.where(F.col("n") > bucket)
-    while large.take(1):
+    leaves = nodes.join(counts.where(F.col("n") <= bucket), "leaf").select("digest", "leaf", "n")
+    while True:
+        medium = nodes.join(counts.where((F.col("n") > bucket) & (F.col("n") <= local)).select("leaf"), "leaf").join(full, "digest")
+        leaves = leaves.unionAll(medium.groupBy("leaf").applyInPandas(settle, "digest binary, leaf long, n long"))
+        large = counts.where(F.col("n") > local)
+        if not large.take(1):
+            break
+        # Nodes beyond one task are split a level at a time.
         nodes = cut(nodes.join(large, "leaf"))
         split = cut(nodes.join(full, "digest").mapInPandas(deeper, "digest binary, node long, leaf long").distinct())
         counts = cut(split.groupBy("node", "leaf").agg(F.count("*").alias("n")).where("n > 1"))
         pairs = counts.groupBy(F.col("node").alias("leaf")).agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1)).alias("below"))
         judged = cut(large.join(pairs, "leaf", "left").withColumn("crowd", F.coalesce("below", F.lit(0.0)) > worth * F.col("n") * (F.col("n") - 1)).select("leaf", "crowd"))
-        go_on = judged.where(~F.col("crowd")).select(F.col("leaf").alias("node"))
-        counts = cut(counts.join(go_on, "node", "left_semi").select("leaf", "n"))
         stay = nodes.join(judged.where("crowd"), "leaf", "left_semi").select("digest", "leaf", "n")
+        counts = cut(counts.join(judged.where(~F.col("crowd")).select(F.col("leaf").alias("node")), "node", "left_semi").select("leaf", "n"))
         nodes = split.select("digest", "leaf")
         leaves = cut(leaves.unionAll(stay).unionAll(nodes.join(counts.where(F.col("n") <= bucket), "leaf").select("digest", "leaf", "n")))
-        large = counts.where(F.col("n") > bucket)
+    leaves = cut(leaves)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Keys of a class as sorted unsigned numbers, and the low bytes of its signature as a sketch."""
