@@ -85,60 +85,80 @@ def pieces(docs: DataFrame, path: str, ranks: str | None, id_col: str, text_col:
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
-    """(lengths of a sequence, how many such sequences), using every piece exactly once."""
-    have = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        have[length] = n
-    out: list[tuple[Counter, int]] = []
+class Complements:
+    """What fills a gap exactly: an index from sums to one, two or three available lengths, by hash of the sum.
 
-    def times(parts: Counter) -> int:
-        return min(int(have[x]) // k for x, k in parts.items())
+    An entry is the combination that counts allow most often when it is made. Counts only fall, so an entry is good for
+    as long as its lengths are left, and a sum that no lengths make any more is never looked up again.
+    """
 
-    def use(parts: Counter) -> bool:
-        n = times(parts)
-        if n:
-            for x, k in parts.items():
-                have[x] -= n * k
-            out.append((parts, n))
-        return n > 0
+    def __init__(self, have: np.ndarray):
+        self.have = have
+        self.pairs: dict[int, tuple[int, ...] | None] = {}
+        self.triples: dict[int, tuple[int, ...] | None] = {}
+
+    def left(self, parts: tuple[int, ...]) -> bool:
+        return all(self.have[x] >= parts.count(x) for x in parts)
 
-    def best_pair(total: int) -> tuple[int, int] | None:
-        """The pair of lengths with this sum that counts allow most often."""
+    def single(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if self.have[total] else None
+
+    def _pair(self, total: int) -> tuple[int, ...] | None:
         if total < 2:
             return None
         a = np.arange(total - 1, (total - 1) // 2, -1)
-        n = np.minimum(have[a], have[total - a])
+        n = np.minimum(self.have[a], self.have[total - a])
         if total % 2 == 0:
             n[-1] //= 2
         at = int(n.argmax())
         return (int(a[at]), int(total - a[at])) if n[at] > 0 else None
 
+    def _triple(self, total: int) -> tuple[int, ...] | None:
+        for a in np.flatnonzero(self.have[: max(0, total - 1)])[::-1].tolist():
+            if 3 * a < total:
+                break
+            self.have[a] -= 1
+            rest = self._pair(total - a)
+            self.have[a] += 1
+            if rest:
+                return (a, *rest)
+        return None
+
+    def pair(self, total: int) -> tuple[int, ...] | None:
+        return self._entry(self.pairs, total, self._pair)
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        return self._entry(self.triples, total, self._triple)
+
+    def _entry(self, entries: dict, total: int, find) -> tuple[int, ...] | None:
+        if total not in entries or (entries[total] and not self.left(entries[total])):
+            entries[total] = find(total)
+        return entries[total]
+
+
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
+    """(lengths of a sequence, how many such sequences), using every piece exactly once."""
+    have = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        have[length] = n
+    out: list[tuple[Counter, int]] = []
+    index = Complements(have)
+
+    # From the longest length down: pieces of it that one, two or three others complete, as often as counts allow.
     for length in range(capacity, 0, -1):
         gap = capacity - length
-        if not gap:
-            use(Counter([length]))
-            continue
         while have[length]:  # each step exhausts a length
-            if gap <= length and use(Counter([length, gap])):
-                continue
-            have[length] -= 1  # the piece to be completed
             found = None
-            if pair := best_pair(gap):
-                found = Counter([length, *pair])
-            else:
-                for a in np.flatnonzero(have[: gap - 1])[::-1]:
-                    if 3 * a < gap:
-                        break
-                    have[a] -= 1
-                    pair = best_pair(gap - int(a))
-                    have[a] += 1
-                    if pair:
-                        found = Counter([length, int(a), *pair])
-                        break
-            have[length] += 1
-            if found is None or not use(found):
+            for parts in [()] if not gap else (index.single(gap), index.pair(gap), index.triple(gap)):
+                if parts is not None and index.left((length, *parts)):
+                    found = Counter((length, *parts))
+                    break
+            if found is None:
                 break
+            n = min(int(have[x]) // k for x, k in found.items())
+            for x, k in found.items():
+                have[x] -= n * k
+            out.append((found, n))
 
     # Best fit of the rest, many equal sequences at a time: open sequences by the gap they still have.
     gaps: dict[int, list[tuple[Counter, int]]] = {}
