@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Share of a text's windows is not sampled at prediction: windows cover every byte.
+#: Bytes of a window at prediction; windows cover every byte.
 WINDOW = 128
 
 
@@ -165,27 +165,32 @@ def pooled(net: Network, texts: list[str], windows: int = 2048) -> np.ndarray:
     return np.divide(out, total, out=out, where=total > 0)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400, chars: int = 256, **options) -> Network | None:
-    """Trains on at most about rows_per_language texts of each language, chosen by the hash of their ids, two stretches
-    of `chars` characters from each (at its start and middle); None if there is nothing to learn from."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400, languages: int = 200, chars: int = 256, **options) -> Network | None:
+    """Trains on a bounded sample: about rows_per_language distinct texts of each of the `languages` most frequent
+    languages, chosen by hash, at most twice as many in all, and of each text two stretches of `chars` characters at
+    places anywhere in it, chosen by hash as well; None if there is nothing to learn from."""
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
+    # At most `languages` rows reach the driver.
+    counts = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()
     if not counts:
         return None
-    unit = (F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)).alias("u")
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("l") == lang, F.lit(min(1.0, rows_per_language / n))).otherwise(share)
-    picked = rows.where(unit < share).select("i", "l", F.substring("t", 1, chars).alias("a"), F.expr(f"substring(t, cast(length(t) / 2 as int) + 1, {chars})").alias("b"))
-    labels = sorted(counts)
+    share = docs.sparkSession.createDataFrame([(r["l"], min(1.0, rows_per_language / r["n"])) for r in counts], "l string, share double")
+    unit = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.join(F.broadcast(share), "l").withColumn("u", unit).where("u < share")  # at most `languages` rows
+    place = lambda salt: F.pmod(F.xxhash64("t", F.lit(salt)), F.greatest(F.length("t") - chars + 1, F.lit(1))).cast("int") + 1
+    stretch = lambda salt: F.substring(F.col("t"), place(salt), F.lit(chars))
+    picked = picked.select("u", "i", "l", stretch(1).alias("a"), stretch(2).alias("b")).distinct()
+    picked = picked.orderBy("u", "i", "l", "a", "b").limit(2 * rows_per_language * len(counts))
+    labels = sorted(r["l"] for r in counts)
     samples = []
-    for r in sorted(picked.collect(), key=lambda r: (str(r["i"]), r["l"], r["a"])):
+    for r in sorted(picked.collect(), key=lambda r: (r["i"], r["l"], r["a"])):
         samples += [(x.encode("utf-8", "surrogatepass"), labels.index(r["l"])) for x in (r["a"], r["b"]) if x]
     return train(samples, labels, **options) if samples else None
 
 
 def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to all columns of docs; `und` with score 0 for null texts and texts without letters."""
+    """Adds lang_pred and score to all columns of docs, replacing columns of these names; `und` with score 0 for null
+    texts and texts without letters, and for all if nothing was learned."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("lang_pred string, score double")
@@ -205,7 +210,8 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> Da
 
 def language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_fold: int = 0, **options) -> DataFrame:
     """id, held_out, lang_pred, score of every row. Learned from rows whose crc32(id as text) mod folds differs from
-    held_fold and whose language is known; a null id is neither learned from nor held out. Repeated rows agree."""
+    held_fold and whose language is known; a null id is neither learned from nor held out. Repeated rows agree. Texts
+    of any length are read whole. An empty table gives no rows. Only id, text and language are read."""
     fold = F.crc32(F.col(id_col).cast("string")) % folds
     net = learn(docs.where(fold != held_fold), id_col, text_col, lang_col, **options)
     out = identify(docs.select(F.col(id_col), F.col(text_col)), net, text_col)
