@@ -106,7 +106,7 @@ class _Batch:
         p, h = anchors(prefix, bounds, span, core)
         text = np.searchsorted(bounds, p, "right") - 1
         low, high = np.maximum(p - (span - core), bounds[text]), np.minimum(p + span, bounds[text + 1])
-        context = mix64(span_hash(prefix, low, p) * np.uint64(0x9E3779B97F4A7C15) ^ span_hash(prefix, p, high)) >> np.uint64(16)
+        context = mix64(span_hash(prefix, low, p) * np.uint64(0x9E3779B97F4A7C15) ^ span_hash(prefix, p, high))
         return h, context, np.array(block, np.int64)[text], p - bounds[text]
 
     def bounds(self, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,16 +133,6 @@ def _undelta(raw: bytes) -> np.ndarray:
     return np.cumsum(_unplane(raw, "<u8"), dtype=np.uint64)
 
 
-def _six(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unsix(raw: bytes) -> np.ndarray:
-    x = np.zeros((len(raw) // 6, 8), np.uint8)
-    x[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return x.view("<u8").ravel()
-
-
 #: What a bucket answers for an entry.
 ALONE, FIRST, COPY, OPEN = 0, 1, 2, 3
 
@@ -283,21 +273,27 @@ def _chunks(anchor: np.ndarray, size: np.ndarray, most: int) -> list[tuple[int,
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100, core: int = 50, batch_rows: int = 2000, chunk_bytes: int = 200_000, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100, core: int = 50, batch_bytes: int = 4_000_000, chunk_bytes: int = 200_000, keep_text: bool = False) -> DataFrame:
     """One row per row of docs: n_bytes, n_removed, n_spans, kept_sha256; with keep_text also text_key, the digest of the
     text, and kept, the remaining text without characters that lost some of their bytes.
 
     Ids are integers and order documents; a null id comes last. Null texts are empty, and texts under `span` bytes
     lose nothing. Rows that repeat id and text are one document and stay or go together; rows that share an id but not
-    the text are compared by their places. An empty table gives no rows. Only id and text are read.
+    the text are compared by their places. An empty table gives no rows. Only id and text are read, whatever other
+    columns are called. Texts are dealt by digests of id and text into batches of about `batch_bytes`; a longer text is
+    a batch of its own, and the rows of one document, however often it is repeated, meet in one.
+
+    Equal anchors with equal contexts are told by two digests of 64 bits each, which an accident meets less than once
+    in 10**18 pairs of contexts of an anchor.
     """
     spark = docs.sparkSession
-    batches = max(1, -(-docs.count() // batch_rows))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
+    batches = max(1, -(-size // batch_bytes))
     buckets = max(shuffle_width(spark), batches // 8)
     edges = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("id", F.length("text")), F.lit(batches)).cast("int"))
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int"))
 
     def of(b: pd.DataFrame) -> _Batch:
         return _Batch(b["id"], b["text"], span, core)
@@ -313,12 +309,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
         for i, e in enumerate(np.split(np.arange(len(a)), np.searchsorted(a, edges))):
             if len(e):
                 m = x.first[e]
-                out.append((key[0], i, _delta(a[e]), _six(x.context[m]), _plane(x.doc[x.row[m]], "<i8"), _plane(x.place[m], "<i8"), zlib.compress(x.copies[e].tobytes(), 1)))
+                out.append((key[0], i, _delta(a[e]), x.context[m].astype("<u8").tobytes(), _plane(x.doc[x.row[m]], "<i8"), _plane(x.place[m], "<i8"), zlib.compress(x.copies[e].tobytes(), 1)))
         return pd.DataFrame(out, columns=["batch", "bucket", "anchor", "context", "doc", "place", "copies"])
 
     def compare(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         a = [_undelta(x) for x in b["anchor"]]
-        context = np.concatenate([_unsix(x) for x in b["context"]])
+        context = np.concatenate([np.frombuffer(x, "<u8") for x in b["context"]])
         doc = np.concatenate([_unplane(x, "<i8") for x in b["doc"]])
         place = np.concatenate([_unplane(x, "<i8") for x in b["place"]])
         copies = np.concatenate([np.frombuffer(zlib.decompress(x), bool) for x in b["copies"]])
