@@ -80,7 +80,17 @@ def weigh(folded: str, automaton) -> float:
             start = end - size
             if start not in hits or hits[start][0] < size:
                 hits[start] = (size, w)
-    return sum(w for at, (_, w) in hits.items() if not any(a <= at < b for a, b in spared))
+    if not spared:
+        return sum(w for _, w in hits.values())
+    spared.sort()
+    total, reach, k = 0.0, -1, 0
+    for at in sorted(hits):
+        while k < len(spared) and spared[k][0] <= at:
+            reach = max(reach, spared[k][1])
+            k += 1
+        if at >= reach:
+            total += hits[at][1]
+    return total
 
 
 def density(weight: float, n_words: int, smoothing: float) -> float:
@@ -88,17 +98,21 @@ def density(weight: float, n_words: int, smoothing: float) -> float:
 
 
 def _sketch(words: list[str]) -> int:
-    """The least hash of five-word shingles: near copies mostly agree on it."""
+    """The least of five-word shingles by three hashes: near copies mostly agree on all, texts that only share a passage
+    hardly ever do."""
     import zlib
 
-    return min((zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))), default=0)
+    shingles = [zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))]
+    least = [min((x ^ flip) * odd & 0xFFFFFFFF for x in shingles) for flip, odd in ((0, 1), (0x5BD1E995, 0x85EBCA6B), (0x27D4EB2F, 0xC2B2AE35))]
+    return least[0] << 31 ^ least[1] << 13 ^ least[2]
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = 3000, clean_rows: int = 9000) -> Lexicon:
     """A lexicon from at most toxic_rows + clean_rows labelled rows, chosen by the hash of their ids.
 
     Stems frequent in toxic and rare in clean rows are chosen greedily until every toxic row that can be explained is,
-    twice over; near copies among the rows count once.
+    twice over; near copies among the rows (equal sketches) count once, so that no copied text outvotes others. Without
+    rows of either label the known words alone make the lexicon.
     """
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     pick = lambda y, n: ids.where(F.col("_y") == y).orderBy(F.xxhash64(id_col), id_col).limit(n)
@@ -212,10 +226,11 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", score_col:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, threshold: float = 0.7) -> DataFrame:
-    """All rows and columns of docs with held_out, score and predicted.
+    """All rows and columns of docs with held_out, score and predicted; columns of these names are replaced.
 
     Rows whose crc32(id as text) mod folds equals held_fold are held out of learning; a null id is never learned from
-    and never held out. Repeated rows score alike.
+    and never held out. Repeated rows score alike. Null and empty texts get the least score. Texts of any length are
+    read whole. An empty table gives no rows; without labels the known words decide.
     """
     fold_of = F.crc32(F.col(id_col).cast("string")) % folds
     lexicon = learn(docs, labels.where(fold_of != held_fold), id_col, text_col, label_col)
