@@ -1,6 +1,7 @@
 """Operators that SQL cannot express against brute force, exact round trips or held-out accuracy."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -66,8 +67,9 @@ def test_jaccard_join(spark):
                 p, q = find(ids[a]), find(ids[b])
                 parent[max(p, q)] = min(p, q)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join(df, bucket=20, block=64).collect()}
-    assert got == {i: (find(i), degree[i]) for i in ids}
+    for local in (20, 50, 20_000):  # all splits by levels, some, none
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join(df, bucket=20, block=64, local=local).collect()}
+        assert got == {i: (find(i), degree[i]) for i in ids}
 
 
 def test_runs_reach_the_recall():
@@ -111,14 +113,14 @@ def test_passage_dedup(spark):
     rows += [(100, None), (101, ""), (102, "a" * 500), (103, "b" + "a" * 300), (104, "ab" * 200), (105, "xyzé" * 80), (106, "xyzé" * 90 + "q"), (107, "日本語テキスト" * 30), (108, "本語テキスト日" * 30), (None, "a" * 120)]
     rows += [(200 + i, "Ha " * (40 + i) + "end.") for i in range(4)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: tuple(r)[1:5] for r in passage_dedup.dedup(df, batch_rows=10, chunk_bytes=3000).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in passage_dedup.dedup(df, batch_bytes=3_000, chunk_bytes=3000).collect()}
     assert got == removed(rows)
 
 
 def test_passage_dedup_on_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = passage_dedup.dedup(df, batch_rows=40, keep_text=True).collect()
+    kept = passage_dedup.dedup(df, batch_bytes=80_000, keep_text=True).collect()
     wanted = removed(rows)
     for r in kept:
         assert tuple(r)[1:5] == wanted[r["doc_id"]]
@@ -187,6 +189,29 @@ def test_toxicity_folding_and_exceptions():
     assert weigh("") == 0.0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "abc", "b", "bc", "x", "abcd", "xx", "ab ", " "]), max_size=25))
+def test_weigh_against_brute_force(parts):
+    lexicon = toxicity.Lexicon({"ab": 1.0, "abc": 2.0, "bc ": 4.0, "x": 8.0}, exceptions=("abc x", "x ab"))
+    folded = toxicity.fold("".join(parts) + " " + " ".join(parts))
+    spared = [(m.start() + 1, m.end() - 1) for p in lexicon.exceptions for m in re.finditer(f"(?= {p} )", folded) for m in [re.compile(f" {p} ").match(folded, m.start())]]
+    wanted = 0.0
+    for at in range(1, len(folded)):
+        if folded[at - 1] == " " and not any(a <= at < b for a, b in spared):
+            fits = [s for s in lexicon.weights if folded.startswith(s, at)]
+            wanted += lexicon.weights[max(fits, key=len)] if fits else 0.0
+    assert toxicity.weigh(folded, lexicon.automaton()) == wanted
+
+
+def test_weighing_takes_time_in_proportion():
+    import time
+
+    a = toxicity.Lexicon({"scum": 1.0}).automaton()
+    begin = time.monotonic()
+    assert toxicity.weigh(toxicity.fold("pond scum scum " * 200_000), a) == 200_000.0
+    assert time.monotonic() - begin < 10
+
+
 def test_toxicity_learns(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.toxicity(docs.select("doc_id", "text"), labels).where("held_out").join(labels, "doc_id").collect()
@@ -235,6 +260,52 @@ def test_plan_uses_every_piece_once(counts):
     assert sequences >= -(-total // 16)
 
 
+def fewest(pieces, capacity):
+    """The least number of sequences, by trying every sequence that holds the largest piece left."""
+    best = {(): 0}
+
+    def solve(left):
+        if left not in best:
+            largest, rest, tried = left[-1], left[:-1], set()
+
+            def fill(at, used, chosen):
+                tried.add(tuple(chosen))
+                for i in range(at, len(rest)):
+                    if used + rest[i] <= capacity:
+                        fill(i + 1, used + rest[i], [*chosen, i])
+
+            fill(0, largest, [])
+            best[left] = 1 + min(solve(tuple(x for i, x in enumerate(rest) if i not in c)) for c in tried)
+        return best[left]
+
+    return solve(tuple(sorted(pieces)))
+
+
+def test_plan_against_exhaustive_packing():
+    rng = random.Random(9)
+    over = 0
+    for _ in range(150):
+        pieces = [rng.randint(1, 12) for _ in range(rng.randint(1, 9))]
+        n = sum(k for _, k in packing.plan(Counter(pieces), 12))
+        least = fewest(pieces, 12)
+        assert least <= n <= least + 1
+        over += n - least
+    assert over <= 5
+
+
+def test_complements_are_exact():
+    rng = random.Random(2)
+    have = np.array([0, *(rng.choice([0, 0, 1, 2]) for _ in range(20))])
+    index = packing.Complements(have)
+    for _ in range(60):
+        total = rng.randint(1, 20)
+        pieces = [x for x in range(1, 21) for _ in range(min(3, have[x]))]
+        for n, find in ((2, index.pair), (3, index.triple)):
+            found, exists = find(total), any(sum(c) == total for c in itertools.combinations(pieces, n))
+            assert (found is not None and index.left(found)) == exists and (not found or (sum(found), len(found)) == (total, n))
+        have[rng.randint(1, 20)] //= 2
+
+
 def test_plan_is_close_to_the_bound():
     rng = random.Random(1)
     counts = Counter(min(1024, max(1, int(rng.lognormvariate(6, 1)))) for _ in range(20_000))

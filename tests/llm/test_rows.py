@@ -96,6 +96,21 @@ def test_language(docs, nothing):
     assert all(0 <= r["score"] <= 1 for r in out)
     assert {r["lang_pred"] for r in out if r["doc_id"] in (2, 3, 4)} == {"und"}
     assert language.language(nothing).count() == 0
+    assert {r["lang_pred"] for r in language.language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_language_samples_are_bounded(spark):
+    rows = [(1, "eins zwei drei " * 50, "de")] * 300 + [(i, f"one two three {i} " * 50, "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    original = language.train
+    language.train = lambda samples, labels, **o: seen.append(samples) or original(samples, labels, **o)
+    try:
+        net = language.learn(df, rows_per_language=20, steps=1)
+    finally:
+        language.train = original
+    assert net.labels == ["de", "en"] and 0 < len(seen[0]) <= 2 * 2 * 20 * 2
+    assert sum(y == 0 for _, y in seen[0]) <= 2
 
 
 def test_passages(docs, nothing):
@@ -109,8 +124,14 @@ def test_passages(docs, nothing):
 
 
 def test_toxicity(spark, docs, nothing):
-    out = toxicity.toxicity(docs.select("doc_id", "text"), labels(spark)).collect()
-    assert len(out) == len(ROWS) and all(0 <= r["score"] <= 1 for r in out)
+    out = toxicity.toxicity(docs, labels(spark))
+    assert sorted(out.columns) == sorted([*docs.columns, "predicted"])  # score and held_out are replaced, others stay
+    out = out.collect()
+    assert len(out) == len(ROWS) and all(0 <= r["score"] <= 1 and r["digest"] == "x" for r in out)
+    least = min(r["score"] for r in out)
+    assert all(r["score"] == least for r in out if r["doc_id"] in (2, 3, 4))
+    assert [r["held_out"] for r in out if r["doc_id"] is None] == [False, False]
+    assert toxicity.toxicity(docs, spark.createDataFrame([], LABELS)).count() == len(ROWS)
     assert toxicity.toxicity(nothing, spark.createDataFrame([], LABELS)).count() == 0
 
 
@@ -154,4 +175,4 @@ def test_no_operator_names_a_local_folder():
     import tessera.llm
 
     for p in pathlib.Path(tessera.llm.__file__).parent.glob("*.py"):
-        assert not re.search(r"localCheckpoint|crossJoin", p.read_text()), p
+        assert not re.search(r"localCheckpoint|crossJoin|tempfile|gettempdir|/tmp", p.read_text()), p
