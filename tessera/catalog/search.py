@@ -66,6 +66,15 @@ def passage_backfill(t):
     return best.unionByName(rest.withColumn("rank", F.lit(None).cast("int")))
 
 
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN coalesce(text, '') || ' newword' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0), t AS (SELECT doc_id, {_TOKENS} AS t FROM d)
+SELECT term, count(*) FILTER (list_contains(t, term)) AS n_texts, sum(len(list_filter(t, lambda x: x = term)))::BIGINT AS n_uses FROM t, (VALUES ('the'), ('newword'), ('der'), ('ononen')) AS v(term) GROUP BY 1 HAVING count(*) FILTER (list_contains(t, term)) > 0""")
+def index_refresh(t):
+    """The index after French texts changed and some left: uses of a few terms."""
+    changed = t.documents.where("lang = 'fr' AND doc_id % 7 <> 0").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" newword")).alias("text"))
+    rows = I.refreshed(_index(t).rows, changed, t.documents.where("doc_id % 7 = 0"), "doc_id", "text")
+    return rows.where(F.col("term").isin("the", "newword", "der", "ononen")).groupBy("term").agg(F.count("*").alias("n_texts"), F.sum("tf").alias("n_uses"))
+
+
 def _probe(t):
     """The vector that queries use: that of the least id."""
     return [float(x) for x in t.embeddings.orderBy("vec_id").limit(1).select("embedding").first()[0]]

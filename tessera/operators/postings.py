@@ -65,6 +65,18 @@ class Index:
         return with_rank(scored.orderBy(F.desc("score"), self.id_col).limit(k), "score", self.id_col)
 
 
+def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(term, id, length, tf) of all texts."""
+    tokens = docs.select(F.col(id_col).alias("id"), index_tokens(text_col).alias("t")).select("id", F.size("t").alias("length"), "t")
+    return tokens.select("id", "length", F.explode("t").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+
+
+def refreshed(rows: DataFrame, changed: DataFrame, removed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Postings after texts changed, came or went: those of their ids are dropped, and those of the new texts added."""
+    gone = changed.select(F.col(id_col).alias("id")).unionAll(removed.select(F.col(id_col).alias("id"))).distinct()
+    return rows.join(gone, "id", "left_anti").unionByName(postings(changed, id_col, text_col))
+
+
 def build(docs: DataFrame, id_col: str, text_col: str, folder: str) -> None:
     """Writes the index of docs to a folder that must not exist. Null and empty texts count, with no words.
 
@@ -72,8 +84,7 @@ def build(docs: DataFrame, id_col: str, text_col: str, folder: str) -> None:
     statistics of files and row groups show which hold a term.
     """
     spark = docs.sparkSession
-    tokens = docs.select(F.col(id_col).alias("id"), index_tokens(text_col).alias("t")).select("id", F.size("t").alias("length"), "t")
-    rows = tokens.select("id", "length", F.explode("t").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+    rows = postings(docs, id_col, text_col)
     work = f"{folder}.{uuid.uuid4().hex}"
     rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option("parquet.block.size", 1 << 22).parquet(f"{work}/postings")
     words = spark.read.parquet(f"{work}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))

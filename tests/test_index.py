@@ -60,6 +60,23 @@ def test_spread_gives_every_core_a_task(spark, docs):
     assert lineage.spread(many) is many
 
 
+def test_store_is_made_once_and_guarded(spark, tmp_path):
+    from tessera.sources.store import TABLES, EvidenceStore
+
+    folder = str(tmp_path / "store")
+    with pytest.raises(FileNotFoundError):
+        EvidenceStore(spark, folder, read_only=True)
+    store = EvidenceStore(spark, folder)
+    assert len(TABLES) == 14 and store.table("passages").count() == 0
+    store.append("evidence_refs", spark.createDataFrame([("s1", "e1")], "source_id string, evidence_id string"))
+    with pytest.raises(ValueError):
+        store.append("documents", spark.createDataFrame([(1,)], "x int"))
+    again = EvidenceStore(spark, folder, read_only=True)
+    assert [tuple(r) for r in again.table("evidence_refs").collect()] == [("e1", "s1")]
+    with pytest.raises(PermissionError):
+        again.append("evidence_refs", store.table("evidence_refs"))
+
+
 class Session:
     """A session as far as folders are concerned."""
 
