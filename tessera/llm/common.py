@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.lineage import broadcast_if, shared_folder, spread, written
+from tessera.operators.lineage import broadcast_if, shared_folder, small, spread, written
 
-__all__ = ["broadcast_if", "shared_folder", "spread", "written"]
+__all__ = ["broadcast_if", "shared_folder", "small", "spread", "written"]
 
 #: The white space that separates words in the quality and packing contracts.
 SPACES = "\t\n\x0b\x0c\r "

@@ -59,7 +59,9 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str, url_col: st
     keyed = c.select("_url", "_at").distinct().select("_url", "_at", F.explode(F.array_distinct(_keys(F.col("_url")))).alias("k")).select("_url", "_at", "k.kind", "k.pattern")
     met = keyed.join(spans, ["kind", "pattern"]).where((F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
     met = met.groupBy("_url", "_at").agg(F.count("*").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("list_name")), ",").alias("lists"), F.min("valid_from").alias("since"), F.max(F.struct(F.length("pattern"), F.col("pattern")))["pattern"].alias("matched"))
-    out = c.join(met, [c["_url"].eqNullSafe(met["_url"]), c["_at"].eqNullSafe(met["_at"])], "left").select(c["*"], "n_entries", "lists", "since", "matched")
+    # Captures without URL or time match nothing; a key of their own spreads them over all tasks.
+    spread = F.when(F.col("_url").isNull() | F.col("_at").isNull(), F.xxhash64("_id")).otherwise(F.lit(0).cast("long"))
+    out = c.withColumn("_k", spread).join(met.withColumn("_k", F.lit(0).cast("long")), ["_url", "_at", "_k"], "left")
     return out.select(
         F.col("_id").alias(id_col),
         F.col("_url").alias(url_col),
