@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if, cut, text_key
+from tessera.llm.common import broadcast_if, cut, small, text_key
 
 #: Characters between words, once A-Z are lower-cased.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -80,9 +80,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, and `_key`, the digest of its text.
 
     A word is hit if it lies in an occurrence of a window: `span` consecutive words of an item, or the whole of a
-    shorter item. Null texts have no words; items without words have no windows. Rows that repeat both id and text are
-    one document; null ids are kept as ids. A document is contaminated if at least one in
-    `one_in` of its words is hit.
+    shorter item. Null and empty texts have no words; items without words have no windows. Rows that repeat both id and
+    text are one document; null ids are kept as ids. A document is contaminated if at least one in `one_in` of its
+    words is hit. Texts of any length are read whole. An empty table of documents gives no rows, one of items no hits.
     """
     items = items.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_text"))
     items = cut(items.select("_item", words("_text").alias("_w")).where(F.size("_w") > 0))
@@ -107,8 +107,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     lengths = [span, *short]
     places = texts.select("_key", words("_text").alias("_w")).select("_key", F.explode(_windows("_w", lengths)).alias("x")).select("_key", "x.start", "x.len", "x.gram")
     grams = items.select("_item", F.size("_w").alias("_n"), F.explode(_windows("_w", lengths)).alias("x")).where((F.col("x.len") == span) | (F.col("_n") == F.col("x.len")))
+    # Counted with all their items, so that no list of items makes a broadcast larger than its bound.
+    few = small(grams, BROADCAST_ROWS // 8)
     grams = grams.groupBy(F.col("x.gram").alias("gram"), F.col("x.len").alias("len")).agg(F.collect_set("_item").alias("_items"))
-    hits = places.join(broadcast_if(grams, BROADCAST_ROWS // 8), ["gram", "len"])
+    hits = places.join(F.broadcast(grams) if few else grams, ["gram", "len"])
     covered = F.aggregate(
         F.array_sort("_spans"),
         F.struct(F.lit(0).cast("long").alias("sum"), F.lit(1).cast("long").alias("to")),
