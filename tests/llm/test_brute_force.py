@@ -447,3 +447,34 @@ def test_recall_with_production_parameters(spark):
     assert sum(wanted.values()) > 0
     assert sum(min(got[i], n) for i, n in wanted.items()) >= 0.999 * sum(wanted.values())
     assert all(got[i] <= n for i, n in wanted.items())
+
+
+def test_pooled_probabilities_against_scalars():
+    """Every gate of every position by plain arithmetic, windows and padding included."""
+    net = language.fresh(["a", "b", "c"], 3, 11)
+
+    def states(way, data):
+        out, h = [None] * len(data), [0.0] * 3
+        for t in range(len(data)) if way == 0 else reversed(range(len(data))):
+            x = [float(v) for v in net.inputs[way][data[t]]]
+            dot = lambda m, v, j: sum(v[i] * float(m[i, j]) for i in range(3))
+            z, r = ([1 / (1 + math.exp(-(x[o + j] + dot(net.gates[way], h, o + j)))) for j in range(3)] for o in (0, 3))
+            c = [math.tanh(x[6 + j] + dot(net.candidate[way], [a * b for a, b in zip(r, h, strict=True)], j)) for j in range(3)]
+            h = [h[j] + z[j] * (c[j] - h[j]) for j in range(3)]
+            out[t] = h
+        return out
+
+    texts = ["", "abc", "é" * 70, "the quick brown fox " * 20]
+    got = language.pooled(net, texts, windows=2)
+    for text, row in zip(texts, got, strict=True):
+        raw, total = text.encode(), [0.0] * 3
+        for at in range(0, len(raw), language.WINDOW):
+            part = raw[at : at + language.WINDOW]
+            padded = part.ljust(language.WINDOW, b" ")
+            ahead, behind = states(0, padded), states(1, padded)
+            for t in range(len(part)):
+                logits = [float(net.bias[k]) + sum(ahead[t][j] * float(net.output[0][j, k]) + behind[t][j] * float(net.output[1][j, k]) for j in range(3)) for k in range(3)]
+                e = [math.exp(v) for v in logits]
+                total = [a + b / sum(e) for a, b in zip(total, e, strict=True)]
+        wanted = [v / len(raw) for v in total] if raw else [0.0] * 3
+        assert np.allclose(row, wanted, atol=1e-5)
