@@ -22,18 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(t) if name in ("documents", "pages") else t
 
 
-def release(spark: SparkSession) -> None:
-    """Has shuffles and broadcasts removed that nothing refers to any more, which Spark does only when the driver
-    collects its garbage: a chain of steps then holds no more disk and driver memory than its largest step."""
+def _collect_garbage(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def release(spark: SparkSession) -> None:
+    """Has shuffles and broadcasts removed that nothing refers to any more, which Spark does only when the driver
+    collects its garbage: a chain of steps then holds no more disk and driver memory than its largest step. The
+    scheduler refers to the last job until the next one, so a job without data comes first."""
+    spark.range(0, 1, 1, 1).count()
+    _collect_garbage(spark)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so that later steps survive lost executors and read it once. What
-    the step shuffled is given up with the caller's last reference to df, at the next release."""
+    the steps before it shuffled is given up."""
     out = written(df)
-    release(df.sparkSession)
+    _collect_garbage(df.sparkSession)
     return out
 
 
