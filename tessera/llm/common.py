@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +31,11 @@ def _collect_garbage(spark: SparkSession) -> None:
 def release(spark: SparkSession) -> None:
     """Has shuffles and broadcasts removed that nothing refers to any more, which Spark does only when the driver
     collects its garbage: a chain of steps then holds no more disk and driver memory than its largest step. The
-    scheduler refers to the last job until the next one, so a job without data comes first."""
-    spark.range(0, 1, 1, 1).count()
-    _collect_garbage(spark)
+    scheduler and its listeners refer to the last jobs until the next ones, so small jobs come between."""
+    for _ in range(3):
+        spark.range(10).repartition(2).count()
+        time.sleep(0.5)
+        _collect_garbage(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:

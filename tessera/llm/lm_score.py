@@ -219,6 +219,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     sent = dealt.select("batch", "sizes", "vocabulary", "words").mapInPandas(explode, "batch long, bucket int, keys binary, counts binary")
     # Written down, so that the tables of counts, the largest data here, are given up before the next shuffle.
     answered = cut(sent.groupBy("bucket").applyInPandas(add, "batch long, bucket int, totals binary"))
+    del sent
     release(spark)
     scored = dealt.groupBy("batch").cogroup(answered.groupBy("batch")).applyInPandas(join, "id string, n_words long, n_backoff long, n_unigram long, logs double")
     value = (F.col("logs") - F.col("n_unigram") * float(np.log(size["words"] or 1))) / F.col("n_words")
