@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, packing, passage_dedup, toxicity
-from tessera.llm.common import broadcast_if, shared_folder, table, text_key
+from tessera.llm.common import broadcast_if, release, shared_folder, table, text_key
 from tessera.llm.queries import tokenizer_paths
 
 #: Up to so many digests (about 20 bytes each) are broadcast; beyond it both sides are shuffled.
@@ -91,6 +91,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{folder}/{name}")
         if before:  # its successor is written
             _delete(spark, f"{folder}/{before}")
+        release(spark)
         before = name
     return docs
 
