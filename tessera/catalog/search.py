@@ -140,6 +140,33 @@ def hybrid_retrieve(t):
     return S.hybrid(*_rankings(t), "doc_id").select("doc_id", "rank")
 
 
+_ELIGIBLE = "lang = 'en' AND source IN ('src1', 'src2', 'src3')"
+
+
+@query(
+    _bm25_sql(_ASK, 20, _ELIGIBLE)
+    + f""", v AS (SELECT vec_id AS doc_id, {_COSINE.format(q='p')} AS score FROM embeddings JOIN documents ON doc_id = vec_id, (SELECT {_Q} AS p) WHERE {_ELIGIBLE}),
+b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS vector FROM v ORDER BY vector LIMIT 20),
+f AS (SELECT coalesce(best.doc_id, b.doc_id) AS doc_id, best.rank AS bm25, vector, round(coalesce(1.0 / (60 + best.rank), 0) + coalesce(1.0 / (60 + vector), 0), 12) AS s FROM best FULL JOIN b ON best.doc_id = b.doc_id)
+SELECT doc_id, bm25, vector, row_number() OVER (ORDER BY s DESC, doc_id) AS rrf FROM f"""
+)
+def graph_constrained_ranking(t):
+    """BM25, cosine and their fusion over the same eligible set."""
+    eligible = t.documents.where(F.col("source").isin("src1", "src2", "src3") & (F.col("lang") == "en")).select("doc_id")
+    lexical = _index(t).top(_ASK, 20, eligible)
+    vectors = t.embeddings.withColumnRenamed("vec_id", "doc_id").join(eligible.distinct(), "doc_id", "left_semi")
+    fused = S.rrf([lexical, S.cosine_top(vectors, _probe(t), "doc_id", "embedding", 20)], "doc_id")
+    # At most forty rows.
+    return S.with_rank(fused, "score", "doc_id").select("doc_id", F.col("rank_1").alias("bm25"), F.col("rank_2").alias("vector"), F.col("rank").alias("rrf"))
+
+
+@query(_bm25_sql(_ASK, 10, "doc_id NOT IN (SELECT doc_id FROM labels)") + "SELECT doc_id, rank FROM best")
+def discovery_ranking(t):
+    """The best documents beside those that are known already."""
+    unknown = t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti")
+    return _index(t).top(_ASK, 10, unknown).select("doc_id", "rank")
+
+
 @query(_RANKINGS + " SELECT doc_id, rank_2 AS rank FROM f WHERE rank_1 IS NULL")
 def vector_rescue(t):
     """What the vector list has and the lexical one misses."""

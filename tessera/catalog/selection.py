@@ -81,8 +81,8 @@ def taxonomy_edge_validation(t):
 b AS (SELECT d.source AS q, min(CASE WHEN d.lang = 'de' THEN r.rank END) AS rank FROM documents d JOIN r ON r.q = d.source AND r.item = d.doc_id WHERE d.lang = 'de' GROUP BY 1)
 SELECT 'all' AS category, count(*) AS n, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) AS recall_1, avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END) AS recall_3, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END) AS recall_5, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END) AS recall_10,
   round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr, avg(CASE WHEN rank IS NULL THEN 1.0 ELSE 0 END) AS no_result FROM b""")
-def graph_constrained_ranking(t):
-    """Rankings within an eligible set, scored by the best rank of any target."""
+def target_rank_quality(t):
+    """Rankings within each source, scored by the best rank of any target."""
     ranks = t.documents.select(F.col("source").alias("q"), F.col("doc_id").alias("item"), F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
     targets = t.documents.where("lang = 'de'").select(F.col("source").alias("q"), F.col("doc_id").alias("item"))
     best = S.rank_of_targets(ranks, targets, "q", "item").withColumn("category", F.lit("all"))
