@@ -103,7 +103,9 @@ def reading_sizes(t):
     return t.texts().where("text IS NOT NULL").select("doc_id", size.alias("s")).select("doc_id", "s.segment_chars", "s.output_tokens")
 
 
-@query(None)
+@query("""WITH b AS (SELECT doc_id, string_split(text, '') AS c, length(text) AS n FROM documents WHERE length(text) > 600),
+x AS (SELECT doc_id, n, list_filter(range(150, n - 149), lambda p: c[p] = chr(10) OR (c[p - 1] IN ('.', '!', '?') AND c[p] IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) AS l FROM b)
+SELECT doc_id, n, list_min(list_transform(l, lambda p: abs(p - n // 2) * 10000000 + p)) % 10000000 AS cut FROM x WHERE len(l) > 0""")
 def window_halves(t):
     """Where long texts are cut in two."""
     return t.texts().select("doc_id", F.length("text").alias("n"), P.halved(F.col("text")).alias("cut")).where("cut IS NOT NULL")

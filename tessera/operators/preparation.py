@@ -98,12 +98,18 @@ def sizing(sentences: Column, numbers: Column, table_lines: Column, chars: Colum
 def halved(text: Column, least: int = 600, margin: int = 150) -> Column:
     """Where a text is cut in two: at the line or sentence end nearest to its middle (the earlier of two), `margin` from
     either end; null if it is short or has none. Both parts together are the text."""
-    pieces = F.split(text, "(?<=\\n)|(?<=[.!?]\\s)")
-    ends = F.aggregate(pieces, F.array().cast("array<int>"), lambda a, p: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(p)))
-    fit = F.filter(ends, lambda p: (p >= margin) & (p <= F.length(text) - margin))
-    half = F.floor(F.length(text) / 2).cast("int")
-    best = F.array_min(F.transform(fit, lambda p: F.struct(F.abs(p - half).alias("d"), p.alias("p"))))
-    return F.when(F.length(text) > least, best["p"])
+    end = "(?:\\n|[.!?]\\s)"
+    n = F.length(text)
+    half = F.floor(n / 2).cast("int")
+    # The last end up to the middle, and the first one after it: it may begin one character before.
+    before = F.length(F.regexp_extract(F.substring(text, F.lit(1), half), f"(?s)^.*{end}", 0))
+    ahead = F.length(F.regexp_extract(F.substring(text, half, n), f"(?s)^.*?{end}", 0))
+    after = F.when(ahead > 1, half - 1 + ahead)
+    far = F.regexp_extract(F.substring(text, half + 1, n), f"(?s)^.*?{end}", 0)
+    after = F.when(after > half, after).otherwise(F.when(far != "", half + F.length(far)))
+    left, right = F.when(before >= margin, before), F.when(after <= n - margin, after)
+    nearest = F.when(right.isNull() | (half - left <= right - half), left).otherwise(right)
+    return F.when(n > least, F.coalesce(nearest, left, right))
 
 
 def literal_names(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:

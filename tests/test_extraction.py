@@ -98,3 +98,24 @@ def test_profile_and_roles(spark):
     assert (r["Name"]["datatype"], r["Name"]["nullable"], r["Name"]["n_empty"]) == ("categorical", True, 2)
     assert P.role_hint(["run id", "burn time"], {"runs": {"run", "burn"}, "samples": {"sample"}}) == "runs"
     assert P.role_hint(["x"], {"runs": {"run"}}) == "unknown"
+
+
+def test_halves_against_brute_force(spark):
+    import random
+    import re
+
+    from tessera.operators import preparation
+
+    r = random.Random(4)
+    texts = ["".join(r.choice(["a", "b ", ". ", "\n", ".", "! ", "c" * 40]) for _ in range(r.randint(1, 90))) for _ in range(400)]
+    texts += ["x" * 700, "x" * 400 + ". " + "y" * 400, "x" * 399 + ".\n" + "y" * 401, "x" * 200 + "\n" + "y" * 600, "\n" * 700, None, ""]
+
+    def wanted(t):
+        if t is None or len(t) <= 600:
+            return None
+        fit = [m.end() for m in re.finditer(r"(?=(\n|[.!?]\s))", t) for m in [re.compile(r"\n|[.!?]\s").match(t, m.start())] if 150 <= m.end() <= len(t) - 150]
+        return min(fit, key=lambda p: (abs(p - len(t) // 2), p), default=None)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x["i"]: x["c"] for x in df.select("i", preparation.halved(F.col("t")).alias("c")).collect()}
+    assert got == {i: wanted(t) for i, t in enumerate(texts)}
