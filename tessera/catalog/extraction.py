@@ -30,7 +30,9 @@ def span_recover_normalised(t):
     return X.recover_table(pairs, "quote", "page").select("item_id", "start", "end")
 
 
-@query(None)
+@query("""WITH RECURSIVE o AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(coalesce(text, ''))) AS r FROM conversations),
+f AS (SELECT conv_id, turn, r, n AS used, 0 AS w FROM o WHERE r = 1 UNION ALL SELECT o.conv_id, o.turn, o.r, CASE WHEN used = 0 OR used + o.n <= 600 THEN used + o.n ELSE o.n END, CASE WHEN used = 0 OR used + o.n <= 600 THEN w ELSE w + 1 END FROM f JOIN o ON o.conv_id = f.conv_id AND o.r = f.r + 1)
+SELECT conv_id, turn, w AS "window" FROM f""")
 def window_packing(t):
     """Consecutive turns of a conversation packed into windows of 600 characters."""
     c = t.conversations.withColumn("n", F.length(F.coalesce("text", F.lit(""))))

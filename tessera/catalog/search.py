@@ -266,7 +266,10 @@ def first_passage_per_source(t):
     return t.documents.groupBy("source").agg(F.min(F.struct("n_chars", "doc_id")).alias("m")).select("source", "m.doc_id", "m.n_chars")
 
 
-@query(None)
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+f AS (SELECT source, 0::BIGINT AS k, 0::BIGINT AS used, []::BIGINT[] AS ids FROM (SELECT DISTINCT source FROM documents)
+  UNION ALL SELECT f.source, k + 1, CASE WHEN used + n_chars <= 5000 THEN used + n_chars ELSE used END, CASE WHEN used + n_chars <= 5000 THEN list_append(ids, doc_id) ELSE ids END FROM f JOIN o ON o.source IS NOT DISTINCT FROM f.source AND r = k + 1)
+SELECT source, arg_max(used, k) AS used, arg_max(ids, k) AS ids FROM f GROUP BY source""")
 def context_anchor_budget(t):
     """Per source the documents that fit a budget of 5,000 characters in order of id; too large ones are skipped."""
     return S.greedy_budget(t.documents, "source", ["doc_id"], "n_chars", "doc_id", 5000)
