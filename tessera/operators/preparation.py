@@ -17,7 +17,7 @@ UNIT_SYNTAX = "^(%|ppm|fraction|RPM|psia|[mcdkMGµμnp]?(mol|Hz|Pa|m|g|s|A|K|N|J
 #: What literal names look like, by class: the group holds the name (fixed values).
 NAME_PATTERNS = {
     "Investigation": "\\b([A-Z][A-Z0-9-]{2,20})\\s+(?:experiments?|investigation|project)\\b",
-    "ExperimentFamily": "\\b((?:[A-Za-z]+[- ]flow|quenching|ground|flight|drop|microgravity)\\s+(?:tests|experiments|cases))\\b",
+    "ExperimentFamily": "\\b((?:[A-Za-z]+[- ]flow|blowoff(?:\\s+limit)?|quenching|ground|flight|drop|normal[- ]gravity|microgravity)\\s+(?:tests|experiments|cases))\\b",
     "ExperimentalRun": "\\b(?:[Rr]un|[Cc]ase|[Tt]est)\\s+(?:[Nn]umber\\s+|[Nn]o\\.?\\s*|#\\s*)?([A-Z][0-9]+(?:[-_.][0-9]+)*)\\b",
     "Sample": "\\b(?:[Ss]ample|[Ss]pecimen)\\s+(?:[Nn]umber\\s+|[Nn]o\\.?\\s*|#\\s*)?([A-Z][0-9]+(?:[-_.][0-9]+)*)\\b",
 }
