@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if, cut, mix64, shuffle_width, text_key, word_hashes
+from tessera.llm.common import arrow_rows, broadcast_if, cut, mix64, shuffle_width, text_key, word_hashes
 
 #: Positions of a signature.
 POSITIONS = 64
@@ -76,6 +76,15 @@ def children(node: np.ndarray, signature: np.ndarray, first: tuple[int, int] | N
     return np.stack([mix64(node * np.uint64(0x9E3779B97F4A7C15) ^ mix64((p.astype(np.uint64) << np.uint64(32)) | signature[rows, p])) for p in (a, b)], 1)
 
 
+#: How often a node's positions are chosen anew before its sets count as a crowd: a position of its own path splits none.
+TRIES = 3
+
+
+def _salted(node: np.ndarray, tries: np.ndarray) -> np.ndarray:
+    """Nodes by which other positions are chosen."""
+    return np.where(tries > 0, mix64(node ^ (tries.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))), node)
+
+
 def _matrix(column: pd.Series, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind).reshape(-1, width)
 
@@ -203,7 +212,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
 
     kind = dict(docs.dtypes)[id_col]
     keyed = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_key(text_col).alias("text_key"))
-    rows = cut(keyed.mapInPandas(signed, "id string, text_key binary, digest binary, signature binary").withColumn("id", F.col("id").cast(kind)))
+    with arrow_rows(spark, 1000):
+        rows = cut(keyed.mapInPandas(signed, "id string, text_key binary, digest binary, signature binary").withColumn("id", F.col("id").cast(kind)))
     classes = cut(rows.groupBy("digest").agg(F.min("id").alias("copy_of"), F.count("*").alias("weight"), F.min("text_key").alias("text_key"), F.first("signature").alias("signature")))
 
     def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,7 +226,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     def deeper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                keys = children(b["leaf"].to_numpy(np.int64).view(np.uint64), _matrix(b["signature"], "<u4", POSITIONS))
+                keys = children(_salted(b["leaf"].to_numpy(np.int64).view(np.uint64), b["tries"].to_numpy(np.int64)), _matrix(b["signature"], "<u4", POSITIONS))
                 yield pd.DataFrame({"digest": np.repeat(b["digest"].to_numpy(object), 2), "node": np.repeat(b["leaf"].to_numpy(), 2), "leaf": keys.ravel().view(np.int64)})
 
     full = classes.where(F.length("signature") > 0).select("digest", "signature")
@@ -226,21 +236,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         out, stack = [], [(int(b["leaf"].iloc[0]), np.arange(len(b)))]
         while stack:
             node, rows = stack.pop()
-            if len(rows) > bucket:
-                keys = children(np.full(len(rows), node, np.int64).view(np.uint64), s[rows])
+            parts = None
+            for tries in range(TRIES if len(rows) > bucket else 0):
+                keys = children(_salted(np.full(len(rows), node, np.int64).view(np.uint64), np.full(len(rows), tries)), s[rows])
                 found, at, n = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
                 if (n.astype(float) * (n - 1)).sum() <= worth * len(rows) * (len(rows) - 1):
                     # A class goes to a child once, even if both its positions lead there.
                     pair = np.unique(at * np.int64(len(rows)) + np.repeat(np.arange(len(rows)), 2))
-                    for child in np.split(pair, np.flatnonzero(np.diff(pair // len(rows))) + 1):
-                        if len(child) > 1:
-                            stack.append((int(found[child[0] // len(rows)].view(np.int64)), rows[child % len(rows)]))
-                    continue
+                    parts = np.split(pair, np.flatnonzero(np.diff(pair // len(rows))) + 1)
+                    stack += [(int(found[c[0] // len(rows)].view(np.int64)), rows[c % len(rows)]) for c in parts if len(c) > 1]
+                    break
+            if parts is not None:
+                continue
             out.append(pd.DataFrame({"digest": digest[rows], "leaf": np.int64(node), "n": np.int64(len(rows))}))
         return pd.concat(out) if out else pd.DataFrame([], columns=["digest", "leaf", "n"])
 
     nodes = cut(full.mapInPandas(roots, "digest binary, leaf long").distinct())
-    counts = cut(nodes.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"))
+    counts = cut(nodes.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").withColumn("tries", F.lit(0)))
     leaves = nodes.join(counts.where(F.col("n") <= bucket), "leaf").select("digest", "leaf", "n")
     while True:
         medium = nodes.join(counts.where((F.col("n") > bucket) & (F.col("n") <= local)).select("leaf"), "leaf").join(full, "digest")
@@ -251,12 +263,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         # Nodes beyond one task are split a level at a time.
         nodes = cut(nodes.join(large, "leaf"))
         split = cut(nodes.join(full, "digest").mapInPandas(deeper, "digest binary, node long, leaf long").distinct())
-        counts = cut(split.groupBy("node", "leaf").agg(F.count("*").alias("n")).where("n > 1"))
-        pairs = counts.groupBy(F.col("node").alias("leaf")).agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1)).alias("below"))
-        judged = cut(large.join(pairs, "leaf", "left").withColumn("crowd", F.coalesce("below", F.lit(0.0)) > worth * F.col("n") * (F.col("n") - 1)).select("leaf", "crowd"))
-        stay = nodes.join(judged.where("crowd"), "leaf", "left_semi").select("digest", "leaf", "n")
-        counts = cut(counts.join(judged.where(~F.col("crowd")).select(F.col("leaf").alias("node")), "node", "left_semi").select("leaf", "n"))
-        nodes = split.select("digest", "leaf")
+        below = cut(split.groupBy("node", "leaf").agg(F.count("*").alias("n")).where("n > 1"))
+        pairs = below.groupBy(F.col("node").alias("leaf")).agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1)).alias("below"))
+        crowd = F.coalesce("below", F.lit(0.0)) > worth * F.col("n") * (F.col("n") - 1)
+        judged = cut(large.join(pairs, "leaf", "left").withColumn("crowd", crowd).drop("below"))
+        again = judged.where(F.col("crowd") & (F.col("tries") < TRIES - 1)).select("leaf", "n", (F.col("tries") + 1).alias("tries"))
+        stay = nodes.join(judged.where(F.col("crowd") & (F.col("tries") == TRIES - 1)), "leaf", "left_semi").select("digest", "leaf", "n")
+        fresh = below.join(judged.where(~F.col("crowd")).select(F.col("leaf").alias("node")), "node", "left_semi").select("leaf", "n", F.lit(0).alias("tries"))
+        nodes = split.select("digest", "leaf").unionAll(nodes.join(again, "leaf", "left_semi").select("digest", "leaf"))
+        counts = cut(fresh.unionAll(again))
         leaves = cut(leaves.unionAll(stay).unionAll(nodes.join(counts.where(F.col("n") <= bucket), "leaf").select("digest", "leaf", "n")))
     leaves = cut(leaves)
 
