@@ -99,7 +99,7 @@ def context_statements(t):
     step = lambda n, a, rel, b, basis: F.struct(F.lit(n).alias("step"), a.alias("source"), rel.alias("relation"), b.alias("target"), basis.alias("basis"))
     member, given = F.lit("in"), F.lit("NATIVE_GRAPH")
     first = step(1, F.when(c == 4, "ghost").otherwise(run), F.when(c == 8, "near").otherwise(member), nation, F.when(c == 10, "GUESS").otherwise(given))
-    second = step(2, F.when(c == 7, "c0").otherwise(nation), member, F.when(c == 9, "nowhere").when(c == 11, F.lit("c0")).when(c == 12, run).otherwise(region), given)
+    second = step(2, F.when(c == 7, "c0").otherwise(nation), member, F.when(c == 9, "nowhere").when(c == 11, _cat("n", ((F.col("c_nationkey") + 1) % 25).cast("string"))).when(c == 12, run).otherwise(region), given)
     more = F.when(c == 6, F.array(*[step(3 + i, region if i % 2 == 0 else nation, member, nation if i % 2 == 0 else region, given) for i in range(4)])).otherwise(F.array(first).cast("array<struct<step:int,source:string,relation:string,target:string,basis:string>>"))
     path = F.when(c == 6, F.concat(F.array(first, second), more)).when(c == 12, F.array(first, step(2, nation, member, run, given))).otherwise(F.array(first, second))
     steps = t.customer.where("c_custkey % 14 <> 5").select(F.col("c_custkey").alias("statement"), F.explode(path).alias("x")).select("statement", "x.*")
