@@ -12,11 +12,18 @@ BROADCAST_ROWS = 400_000
 
 
 def merge(spans: DataFrame, by: list[str], start: str = "start", end: str = "end", gap: int = 0) -> DataFrame:
-    """Spans that overlap, or lie at most `gap` apart, become one (gaps and islands)."""
-    order = Window.partitionBy(*by).orderBy(start, end)
+    """Spans that overlap, or lie at most `gap` apart, become one (gaps and islands).
+
+    Equal spans are one row with their number before they are sorted, so their order is never open and copies do not
+    crowd a group. Only spans without an end at or after their start stay apart, as a copy of them touches none; nulls
+    come last, as in SQL.
+    """
+    own = F.when(F.col(end) >= F.col(start), F.lit(None).cast("long")).otherwise(F.monotonically_increasing_id())
+    spans = spans.select(*by, start, end, own.alias("_own")).groupBy(*by, start, end, "_own").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*by).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end), "_own")
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_spans")).drop("_island")
+    return islands.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("_n").alias("n_spans")).drop("_island")
 
 
 def overlapping(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

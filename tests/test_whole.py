@@ -2,11 +2,13 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
-from tessera.catalog import QUERIES
+from tessera.catalog import ORACLES, QUERIES
 from tessera.operators import retrieval as S
 from tessera.operators import spans as P
+from tests.compare import rows_of, rows_of_sql
 
 
 def run(spark, folder, name, **tables):
@@ -108,3 +110,28 @@ def test_html_text_extract_gives_the_whole_text(spark, tmp_path):
     pages = [(1, "http://a", f"<head>x</head><p>{words}</p><script>y</script><b>end</b>")]
     got = run(spark, tmp_path, "html_text_extract", pages=(pages, "page_id long, url string, html string")).collect()
     assert [(r["text"], r["n"]) for r in got] == [(words + "end", 153)]
+
+
+def test_merge_overlapping_spans_counts_copies_and_puts_missing_ends_last(spark, tmp_path):
+    # Ids of one remainder by 900 start at one place; those of one length as well are copies of a span.
+    docs = [(50, None), (50 + 900, 3), (50 + 1800, 3), (100, None), (100 + 900, None), (100 + 1800, -39), (100 + 2700, -39), (1, None), (1 + 900, 7), (None, 5), (None, None)]
+    docs += [(2 + 900 * i, (7 * i) % 13) for i in range(200)] + [(52 + 900 * i, i % 3) for i in range(100)]
+    got = run(spark, tmp_path, "merge_overlapping_spans", documents=(docs, "doc_id long, n_chars long"))
+    connection = duckdb.connect()
+    connection.execute("SET threads = 1")  # with more, its two windows may sort copies differently
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows_of(got) == rows_of_sql(connection, ORACLES["merge_overlapping_spans"])
+
+
+def test_merge_equals_brute_force_in_any_partitions(spark):
+    for seed in range(4):
+        r = random.Random(seed)
+        rows = [(r.choice("ab"), s := r.randrange(300), s + r.randrange(4)) for _ in range(600)]
+        wanted = []
+        for d, s, e in sorted(rows):
+            if wanted and wanted[-1][0] == d and s <= wanted[-1][2] + seed:
+                wanted[-1] = (d, wanted[-1][1], max(e, wanted[-1][2]), wanted[-1][3] + 1)
+            else:
+                wanted.append((d, s, e, 1))
+        got = P.merge(spark.createDataFrame(rows, "d string, start int, end int").repartition(1 + 2 * seed), ["d"], gap=seed)
+        assert sorted((x["d"], x["start"], x["end"], x["n_spans"]) for x in got.collect()) == wanted
