@@ -80,8 +80,8 @@ def first_label(text: Column, rules: list[tuple[str, str]], otherwise: str | Non
 
 
 def all_labels(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """The labels of all rules that a text matches, in the rules' order."""
-    return F.array_compact(F.array(*[F.when(text.rlike("(?i)" + pattern), F.lit(name)) for name, pattern in rules]))
+    """The labels of all rules (label, pattern) that a text matches, in the rules' order; a pattern sets its own flags."""
+    return F.array_compact(F.array(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in rules]))
 
 
 def mentions(text: Column, alias: Column) -> Column:

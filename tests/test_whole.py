@@ -135,3 +135,13 @@ def test_merge_equals_brute_force_in_any_partitions(spark):
                 wanted.append((d, s, e, 1))
         got = P.merge(spark.createDataFrame(rows, "d string, start int, end int").repartition(1 + 2 * seed), ["d"], gap=seed)
         assert sorted((x["d"], x["start"], x["end"], x["n_spans"]) for x in got.collect()) == wanted
+
+
+def test_role_errors_regards_case_as_its_sql(spark, tmp_path):
+    texts = ["mail @HOME", "mail @home", "mail @Home.x", "@", "@9", "LICENSE", "Licen\u017fe", "right\u017f Re\u017ferved", "RIGHTS RESERVED", "to\u212aen =", "\u212aEY=", "TOKEN  =", "l\u0131cense", "L\u0130CENSE", "key", None, ""]
+    got = run(spark, tmp_path, "role_errors", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    errors = dict(map(tuple, got.collect()))
+    assert [errors[i] for i in (0, 1, 2, 6, 7, 9, 10)] == [[], ["contact"], [], ["license"], ["license"], ["secret"], ["secret"]]
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows_of(got) == rows_of_sql(connection, ORACLES["role_errors"])
