@@ -145,3 +145,15 @@ def test_role_errors_regards_case_as_its_sql(spark, tmp_path):
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert rows_of(got) == rows_of_sql(connection, ORACLES["role_errors"])
+
+
+def test_topic_gate_has_words_as_its_sql(spark, tmp_path):
+    odd = ["", " ", "-", "_", "7", "x", "\u00e8", "\u0301", "\u0130", "\u0130\u0301", "\u03a3", "\u0870", "\ua7c0", "\u2160", "\U0001e4d0", "\U00010400", "\U0001f600", "\n", "."]
+    texts = [f"{c}tion{d} x the{c} x {d}les." for c in odd for d in odd] + [f"einer {c}los{d}" for c in odd for d in odd]
+    texts += ["T\u0130ON der", "E\u0130NER LES", "e\u0130ner xlos los\u00f1", "que", "les", "que les", None]
+    got = run(spark, tmp_path, "topic_gate", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows_of(got) == rows_of_sql(connection, ORACLES["topic_gate"])
+    found = {texts[r["doc_id"]] for r in got.collect()}
+    assert "einer \u00e8los\u00e8" in found and "T\u0130ON der" in found and "einer xlos" not in found
